@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.block_knn import nearest, similar_pairs
 from inkwell.llm.borda import borda, latest_rows, score_ranks
+from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.heavy_hitters import frequent_items, misra_gries
+from inkwell.llm.mixing import mix_documents
 from inkwell.llm.title_forms import article_index, disguised_titles
 from inkwell.session import cut, table
 
@@ -59,7 +61,20 @@ def p7_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(table(spark, sf, "vectors"), "article_id", "vector", 10).select(F.col("id").alias("article_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 4).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest)}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0].withColumnRenamed("size", "tokens")
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source, with its documents, tokens and most copies."""
+    return mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1].withColumnsRenamed({"size": "tokens", "mix_size": "mix_tokens"})
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report)}
 
 _LATEST = "SELECT article_id, pagerank, pageviews, backlinks FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY embedding_timestamp DESC NULLS LAST, pagerank DESC NULLS LAST, pageviews DESC NULLS LAST, backlinks DESC NULLS LAST) AS i FROM articles WHERE article_id IS NOT NULL) WHERE i = 1"
 _POINTS = "CASE WHEN {s} IS NULL THEN 0 ELSE (m_{s} - (rank() OVER (PARTITION BY {s} IS NULL ORDER BY {s} DESC) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0) + 0.5) / m_{s} - 0.5 END"
