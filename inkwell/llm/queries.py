@@ -9,6 +9,7 @@ from inkwell.llm.block_knn import nearest, similar_pairs
 from inkwell.llm.borda import borda, latest_rows, score_ranks
 from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.heavy_hitters import frequent_items, misra_gries
+from inkwell.llm.markup import cleaned
 from inkwell.llm.mixing import mix_documents
 from inkwell.llm.mojibake import restored_texts
 from inkwell.llm.title_forms import article_index, disguised_titles
@@ -17,6 +18,15 @@ from inkwell.session import cut, table
 SCORES = ["pagerank", "pageviews", "backlinks"]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaned(table(spark, sf, "article").where("page_id IS NOT NULL"), "page_id", "text").where("marks > 0").select("page_id").distinct()
+
+
+def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every article once for each text it has, cleaned, with the number of marks that were found."""
+    return cleaned(table(spark, sf, "article").select("page_id", "text").distinct(), "page_id", "text")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     articles = table(spark, sf, "articles")
     index = cut(article_index(articles), "index")
@@ -84,7 +94,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return restored_texts(table(spark, sf, "documents"), "doc_id", "text").where("damaged").select("doc_id", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
 
 _LATEST = "SELECT article_id, pagerank, pageviews, backlinks FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY embedding_timestamp DESC NULLS LAST, pagerank DESC NULLS LAST, pageviews DESC NULLS LAST, backlinks DESC NULLS LAST) AS i FROM articles WHERE article_id IS NOT NULL) WHERE i = 1"
 _POINTS = "CASE WHEN {s} IS NULL THEN 0 ELSE (m_{s} - (rank() OVER (PARTITION BY {s} IS NULL ORDER BY {s} DESC) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0) + 0.5) / m_{s} - 0.5 END"
