@@ -108,23 +108,42 @@ def plain(value: Column) -> Column:
     return value.rlike(r"^[\x20-\x7e]*$") & ~value.contains("%")
 
 
+def _plain_forms(v: Column, kind: str) -> tuple[Column, Column]:
+    """norm and form (which is the key, too) of plain values."""
+    if kind == "link":
+        norm = F.translate(F.lower(F.trim(F.substring_index(F.trim(v), "#", 1))), " ", "_")
+        kept = F.when(~((norm == "") | norm.rlike("^(" + "|".join(SPECIAL_PREFIXES_DRAFT) + ")")), norm)
+        return kept, kept
+    norm = F.translate(F.lower(v) if kind == "view" else v, " ", "_")
+    return norm, F.translate(F.lower(F.trim(v)), " ", "_")
+
+
 def distinct_forms(df: DataFrame, column: str, kind: str) -> DataFrame:
     """value, norm, form and key of every distinct non-null value; dropped link targets have nulls.
 
     Plain ASCII values are done in the JVM. Only the other ones go through Python, each distinct value once.
     kind: link (C5 and C6's twelve prefixes), view (C10's decoding) or title (as stored).
     """
-    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
     v = F.col("value")
-    if kind == "link":
-        t = F.lower(F.trim(F.substring_index(F.trim(v), "#", 1)))
-        norm = F.translate(t, " ", "_")
-        special = (norm == "") | norm.rlike("^(" + "|".join(SPECIAL_PREFIXES_DRAFT) + ")")
-        easy = F.when(~special, norm)
-        form = easy
-    else:
-        easy = F.translate(F.lower(v), " ", "_") if kind == "view" else F.translate(v, " ", "_")
-        form = F.translate(F.lower(F.trim(v)), " ", "_")
-    ascii_ = values.where(plain(v)).select("value", easy.alias("norm"), form.alias("form"), form.alias("key"))
-    other = values.where(~plain(v)).withColumn("f", _udf(kind)(v)).select("value", "f.*")
-    return ascii_.unionByName(other)
+    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
+    norm, form = _plain_forms(v, kind)
+    ascii_ = values.where(plain(v)).select("value", norm.alias("norm"), form.alias("form"), form.alias("key"))
+    return ascii_.unionByName(_other_forms(values.where(~plain(v)), kind))
+
+
+def _other_forms(values: DataFrame, kind: str) -> DataFrame:
+    return values.withColumn("f", _udf(kind)(F.col("value"))).select("value", "f.*")
+
+
+def with_key(df: DataFrame, column: str, kind: str, into: str = "key") -> DataFrame:
+    """df with the look key of a column, null for null values and dropped link targets.
+
+    Rows with a plain value get it where they are. The other rows meet the keys of their distinct values in a join; a
+    hot value there is one row of the keys' side, which is broadcast while it is small.
+    """
+    v = F.col(column)
+    is_plain = F.coalesce(plain(v), F.lit(True))
+    here = df.where(is_plain).withColumn(into, _plain_forms(v, kind)[1])
+    rest = df.where(~is_plain)
+    keys = _other_forms(rest.select(v.alias("value")).distinct(), kind).select(F.col("value").alias("__value"), F.col("key").alias(into))
+    return here.unionByName(rest.join(keys, rest[column] == F.col("__value"), "left").drop("__value"))

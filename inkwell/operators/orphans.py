@@ -32,14 +32,17 @@ class OrphanTracker:
 
     References: ref_table, key, source_id, target, at (epoch microseconds, null counts as after everything).
     Arrivals: ref_table, key, since. Deletions: ref_table, key, at. References with a null key are none; repeated rows
-    are kept as often as they come; several arrivals of a key count from the earliest one. Empty batches change nothing.
+    are kept as often as they come; of several arrivals of a key in a batch the earliest counts, and an arrival of a key
+    that is there changes nothing. Empty batches change nothing.
     A reference at the very instant of its parent is resolved. keep_resolved: also store resolved references, which
-    deletions then reopen; without it deletions only close the index entry.
+    deletions then reopen; without it deletions only close the index entry. known: arrivals may be of keys that are
+    there; False spares looking for them where the caller sends each key once.
     """
 
     spark: SparkSession
     hot: DataFrame | None = None
     keep_resolved: bool = False
+    known: bool = True
     index: DataFrame = field(init=False)
     pending: DataFrame = field(init=False)
     resolved: DataFrame = field(init=False)
@@ -54,9 +57,16 @@ class OrphanTracker:
         """Take a batch; returns the references found orphaned that have a parent by now (late), ref columns only."""
         names = ["ref_table", "key", "source_id", "target", "at"]
         refs = refs.select(*names).where(F.col("key").isNotNull())
-        index = self.index.unionByName(arrivals.select(*KEY, "since").where(F.col("key").isNotNull())).groupBy(*KEY).agg(F.min("since").alias("since"))
-        index = cut(index, "index")
-        probed = cut(salted_join(refs.unionByName(self.pending), index, KEY, self.hot).select(*names, "since"), "probed")
+        come = arrivals.select(*KEY, "since").where(F.col("key").isNotNull()).groupBy(*KEY).agg(F.min("since").alias("since"))
+        # only what is new is written; the index is the union of such parts
+        if self.known:
+            come = come.join(self.index.select(*KEY), KEY, "left_anti")
+        come = cut(come, "index")
+        index = self.index.unionByName(come)
+        probed = salted_join(refs.unionByName(self.pending), index, KEY, self.hot).select(*names, "since")
+        if not self.keep_resolved:
+            probed = probed.where(F.col("since").isNull() | (F.col("since") > F.coalesce("at", F.lit(2**62))))
+        probed = cut(probed, "probed")
         late = probed.where(F.col("since") > F.coalesce("at", F.lit(2**62))).select(*names)
         pending = probed.where(F.col("since").isNull()).select(*names)
         on_time = probed.where(F.col("since") <= F.coalesce("at", F.lit(2**62))).select(*names)
@@ -90,10 +100,10 @@ def track(refs: DataFrame, arrivals: DataFrame, months: int = 1, hot_share: floa
     """
     spark = refs.sparkSession
     number = lambda at: F.floor(month_number(F.col(at)) / months).cast("bigint")
-    staged = cut(refs.withColumn("batch", number("at")), "refs")
+    staged = cut(refs.withColumn("batch", number("at")), "refs", ["batch"])
     batches = [r[0] for r in staged.select("batch").where("batch is not null").distinct().orderBy("batch").collect()]
     parents = cut(arrivals.groupBy(*KEY).agg(F.min("since").alias("since")).withColumn("batch", F.when(F.col("since") > ALWAYS, number("since")).otherwise(0)), "parents")
-    tracker = OrphanTracker(spark, cut(hot_keys(staged, KEY, hot_share), "hot"))
+    tracker = OrphanTracker(spark, cut(hot_keys(staged, KEY, hot_share), "hot"), known=False)
     late = None
     for i, b in enumerate(batches or [0]):
         first, last = i == 0, i == max(0, len(batches) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions.lookalike import distinct_forms
+from inkwell.functions.lookalike import with_key
 from inkwell.functions.times import micros, month
 from inkwell.operators.orphans import ALWAYS, track
 from inkwell.operators.skew import frequent_keys, key_quantiles
@@ -41,22 +41,21 @@ def p2_title_totals(spark: SparkSession, sf: str) -> DataFrame:
 def orphan_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """References and parents of links, pagelinks and articles, in the tracker's columns."""
     articles, links, pages = (table(spark, sf, t) for t in ("articles", "links", "page_tbl"))
-    titles = cut(distinct_forms(articles, "lookup_title", "title").select(F.col("value").alias("lookup_title"), "key"), "titles")
-    targets = distinct_forms(links, "target_title", "link").where(F.col("key").isNotNull()).select(F.col("value").alias("target_title"), "key")
+    titled = cut(with_key(articles.select("article_id", "lookup_title", "embedding_timestamp").where("lookup_title IS NOT NULL"), "lookup_title", "title"), "titled")
     # seconds to microseconds; a row without a time can't be later than a reference
     since = F.coalesce(F.col("embedding_timestamp") * 1_000_000, F.lit(ALWAYS))
     seen = micros(F.col("seen_at"))
     refs = (
-        links.select("source_id", "target_title", seen.alias("at"))
-        .join(targets, "target_title")
+        with_key(links.select("source_id", "target_title", seen.alias("at")).where("target_title IS NOT NULL"), "target_title", "link")
+        .where("key IS NOT NULL")
         .select(F.lit("links").alias("ref_table"), "key", "source_id", F.col("target_title").alias("target"), "at")
         .unionByName(table(spark, sf, "pagelinks").where("target_id is not null").select(F.lit("pagelinks").alias("ref_table"), F.col("target_id").cast("string").alias("key"), "source_id", F.col("target_id").cast("string").alias("target"), seen.alias("at")))
-        .unionByName(articles.join(titles, "lookup_title").select(F.lit("articles").alias("ref_table"), "key", F.col("article_id").alias("source_id"), F.col("lookup_title").alias("target"), (F.col("embedding_timestamp") * 1_000_000).alias("at")))
+        .unionByName(titled.select(F.lit("articles").alias("ref_table"), "key", F.col("article_id").alias("source_id"), F.col("lookup_title").alias("target"), (F.col("embedding_timestamp") * 1_000_000).alias("at")))
     )
     parents = (
-        articles.join(titles, "lookup_title").select(F.lit("links").alias("ref_table"), "key", since.alias("since"))
+        titled.select(F.lit("links").alias("ref_table"), "key", since.alias("since"))
         .unionByName(articles.where("article_id is not null").select(F.lit("pagelinks").alias("ref_table"), F.col("article_id").cast("string").alias("key"), since.alias("since")))
-        .unionByName(distinct_forms(pages.where("page_namespace = 0"), "page_title", "title").select(F.lit("articles").alias("ref_table"), "key", F.lit(ALWAYS).alias("since")))
+        .unionByName(with_key(pages.where("page_namespace = 0 AND page_title IS NOT NULL").select("page_title").distinct(), "page_title", "title").select(F.lit("articles").alias("ref_table"), "key", F.lit(ALWAYS).alias("since")))
     )
     return refs, parents
 
