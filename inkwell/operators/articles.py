@@ -115,8 +115,8 @@ def backlinks_from_text(pages: DataFrame, draft: bool = False) -> DataFrame:
     """A2, C7-X: how often each normalised target is linked from main articles; repeated links count."""
     raw = F.col("revision.text._VALUE")
     main = pages.where((F.coalesce("ns", F.lit(0)) == 0) & F.col("redirect").isNull())
-    t = T.normalize_title(F.explode(T.wikilinks(raw)))
-    return main.select(t.alias("lookup_title")).where(~T.is_special_page(F.col("lookup_title"), draft)).groupBy("lookup_title").agg(F.count(F.lit(1)).alias("backlinks"))
+    targets = main.select(F.explode(T.wikilinks(raw)).alias("target"))
+    return targets.select(T.normalize_title(F.col("target")).alias("lookup_title")).where(~T.is_special_page(F.col("lookup_title"), draft)).groupBy("lookup_title").agg(F.count(F.lit(1)).alias("backlinks"))
 
 
 def backlinks_from_tuples(tuples: DataFrame) -> DataFrame:
