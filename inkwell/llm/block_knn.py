@@ -19,8 +19,8 @@ from inkwell.session import cut
 
 #: Rows of a block: a tile's task holds two, as int8 and float32.
 BLOCK_ROWS = 50_000
-#: Rows whose products are in memory at once.
-STRIP = 512
+#: Rows whose products with a block are in memory at once, for pairs over a threshold and for the k nearest.
+STRIP, NEAREST_STRIP = 256, 64
 _QUANTISED = "id bigint, unit array<float>, q binary, scale float, err float"
 
 
@@ -126,8 +126,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, dim: int = 64, block_r
     def best(ids: np.ndarray, m: np.ndarray, s: np.ndarray, e: np.ndarray, oids: np.ndarray, om: np.ndarray, os_: np.ndarray, oe: np.ndarray) -> tuple[list, list]:
         a, b = [], []
         omt = np.ascontiguousarray((om * os_[:, None]).T)
-        for i in range(0, len(ids), STRIP):
-            t = slice(i, i + STRIP)
+        for i in range(0, len(ids), NEAREST_STRIP):
+            t = slice(i, i + NEAREST_STRIP)
             p = (m[t] @ omt) * s[t][:, None]
             p[ids[t][:, None] == oids[None, :]] = -2.0
             slack = e[t][:, None] + oe[None, :] * (1 + e[t][:, None]) + 1e-5

@@ -148,8 +148,10 @@ def encoder(path: str) -> TrieEncoder:
 
 
 def _mapped(df: DataFrame, text: str, path: str, schema: str, result: Callable[[list[list[int]]], pa.Array]) -> DataFrame:
-    keep = [c for c in df.columns if c != text]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != text)
+    # a column named like the result gives way to it
+    keep = [c for c in df.columns if c not in (text, schema.split()[0])]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in keep)
+    df = df.select(*keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

@@ -60,9 +60,11 @@ def misra_gries(df: DataFrame, item: str, weight: str | None, k: int) -> DataFra
 
     parts = rows.mapInArrow(summarise, _SCHEMA)
     n = max(1, rows.rdd.getNumPartitions())
-    while n > 1:
+    while True:
         n = -(-n // FAN_IN)
         parts = parts.select(F.col("part").alias("from_part"), (F.col("part") % n).alias("part"), "item", "n", "err").groupBy("part").applyInPandas(merge, _SCHEMA)
+        if n == 1:
+            break
     return parts.select("item", F.col("n").alias("low"), (F.col("n") + F.col("err")).alias("high"))
 
 

@@ -10,22 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.lookalike import distinct_forms
-from inkwell.session import cut
+from inkwell.operators.skew import hot_keys, salted_join
+
+_VALUE, _FORM = "__title_value", "__title_form"
 
 
 def consistent_form(df: DataFrame, column: str, kind: str = "title", into: str = "form") -> DataFrame:
     """df with one more column: the consistent form of `column`; null texts and dropped link targets have null.
 
-    Columns of df may have any names but `into`; empty texts have an empty form, of whatever length they are whole.
+    A column that is named `into` already gives way; others may have any names. An empty text has an empty form, a text
+    of any length comes whole, repeated rows stay. Every distinct value is converted once; a value of a third of all
+    rows is spread over many tasks on its way to its form.
     """
-    forms = distinct_forms(df, column, kind).select("value", F.col("form").alias(into))
-    # every distinct value stands once in forms, so even a value of a third of all rows only repeats on df's side
-    hot = df.groupBy(F.col(column).alias("value")).count().orderBy(F.desc("count"), "value").limit(1000).select("value")
-    few = F.broadcast(cut(forms.join(F.broadcast(hot), "value"), "forms"))
-    here = df.withColumn("__value", F.col(column))
-    cold = here.join(few.select(F.col("value").alias("__value")), "__value", "left_anti").join(forms.withColumnRenamed("value", "__value"), "__value", "left")
-    warm = here.join(few.withColumnRenamed("value", "__value"), "__value")
-    return cold.unionByName(warm).drop("__value")
+    df = df.select(*[c for c in df.columns if c != into or c == column])
+    forms = distinct_forms(df, column, kind).select(F.col("value").alias(_VALUE), F.col("form").alias(_FORM))
+    rows = df.withColumn(_VALUE, F.col(column))
+    out = salted_join(rows, forms, [_VALUE], hot_keys(rows, [_VALUE]), spread=F.monotonically_increasing_id())
+    return out.select(*[F.col(c) for c in df.columns if c != into], F.col(_FORM).alias(into))
 
 
 def article_index(articles: DataFrame) -> DataFrame:
