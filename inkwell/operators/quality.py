@@ -164,3 +164,35 @@ def length_rank(df: DataFrame, key: str, length: str) -> DataFrame:
 def import_complete(imported: int, estimated: int) -> str:
     """E16."""
     return "complete" if imported >= 0.9 * estimated else "incomplete"
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """T5: n rows in random order, the same for a seed however the table is partitioned."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def last_rows(df: DataFrame, n: int, key: str) -> DataFrame:
+    """T7."""
+    return df.orderBy(F.desc(key)).limit(n)
+
+
+def hit_rate(results: DataFrame, expected: DataFrame, group: str, top: int) -> DataFrame:
+    """By group, the share of queries with an expected title among their first results, ignoring case.
+
+    results: query, rank, title. expected: group, query, wanted. Queries without results are misses.
+    """
+    best = results.where(F.col("rank") <= top).select("query", F.lower("title").alias("t"))
+    hits = expected.join(best, "query", "left").withColumn("hit", F.coalesce(F.col("t").contains(F.lower("wanted")), F.lit(False)))
+    per = hits.groupBy(group, "query").agg(F.bool_or("hit").alias("hit"))
+    return per.groupBy(group).agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("rate"))
+
+
+def quality_verdict(kind: Column, value: Column) -> Column:
+    """Clustering is good above 0.7, disambiguation above 0.8, anything else above 0."""
+    return F.when(kind == "clustering", value > 0.7).when(kind == "disambiguation", value > 0.8).otherwise(value > 0)
+
+
+def query_type_benchmarks(df: DataFrame, name: str = "name", fallback: int = 4) -> DataFrame:
+    """The benchmarks by query type, or the first few by name if there are none."""
+    kinds = df.where(F.col(name).contains("Query Type"))
+    return kinds if kinds.limit(1).count() else df.orderBy(name).limit(fallback)

@@ -215,6 +215,20 @@ def test_quality(spark):
     assert Q.import_complete(90, 100) == "complete" and G.sparsity(0, 0) == 0
 
 
+def test_samples_and_rates(spark):
+    df = spark.range(100)
+    first = [r[0] for r in Q.sample_rows(df, 5, "id", 3).collect()]
+    assert first == [r[0] for r in Q.sample_rows(df.repartition(7), 5, "id", 3).collect()] and len(set(first)) == 5
+    assert [r[0] for r in Q.last_rows(df, 2, "id").collect()] == [99, 98]
+    results = spark.createDataFrame([("q", 1, "Bank of x"), ("q", 9, "River"), ("r", 1, "Other")], "query string, rank int, title string")
+    expected = spark.createDataFrame([("g", "q", "bank"), ("g", "r", "bank"), ("h", "q", "river"), ("h", "s", "x")], "g string, query string, wanted string")
+    assert {r["g"]: r["rate"] for r in Q.hit_rate(results, expected, "g", 3).collect()} == {"g": 0.5, "h": 0.0}
+    got = spark.createDataFrame([("clustering", 0.7), ("disambiguation", 0.9), ("x", 0.1)], "k string, v double").select(Q.quality_verdict(F.col("k"), F.col("v"))).collect()
+    assert [r[0] for r in got] == [False, True, True]
+    names = spark.createDataFrame([("b",), ("Query Type: a",)], "name string")
+    assert Q.query_type_benchmarks(names).count() == 1 and Q.query_type_benchmarks(names.where("name = 'b'")).count() == 1
+
+
 def test_history_and_reports(spark, tmp_path):
     h = History(spark, str(tmp_path / "h"))
     assert h.create_run("one", at=5) == 1 and h.create_run("two") == 2 and h.previous(2) == 1 and h.previous(1) is None
