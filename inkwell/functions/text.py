@@ -109,8 +109,9 @@ def title_match(title: Column, query: Column) -> Column:
 
 
 def percent_decode(c: Column) -> Column:
-    """'+' stays, malformed escapes leave the text as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """'+' and malformed escapes stay, bytes that aren't UTF-8 become replacement characters."""
+    safe = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), c)
 
 
 def parse_context(c: Column) -> Column:

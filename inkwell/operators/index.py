@@ -20,7 +20,9 @@ from inkwell.functions.vectors import dot, is_finite, l2_normalize
 #: Most rows that the quantisers are fitted on.
 TRAIN_ROWS = 100_000
 #: Queries that one pass over the index answers: what the driver holds and sends to the tasks at once.
-QUERY_BLOCK = 20_000
+QUERY_BLOCK = 5_000
+#: Queries that a batch of the index is multiplied with at once.
+QUERY_STRIP = 512
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,16 +64,19 @@ def _search_block(index: DataFrame, names: np.ndarray, matrix: np.ndarray, k: in
         for b in batches:
             if not len(b) or not len(ids):
                 continue
-            scores = np.stack(b["unit"].to_numpy()) @ m.T
-            own = b["id"].to_numpy()
-            if exclude_self:
-                scores[own[:, None] == ids[None, :]] = -np.inf
-            j = min(k, len(own))
-            top = np.argpartition(-scores, j - 1, axis=0)[:j] if j < len(own) else np.tile(np.arange(len(own))[:, None], (1, len(ids)))
-            # all that tie with the last one come along, so that the smaller id can win
-            floor = np.take_along_axis(scores, top, 0).min(axis=0)
-            r, c = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
-            new = pd.DataFrame({"query": ids[c], "id": own[r], "score": scores[r, c]})
+            units, own = np.stack(b["unit"].to_numpy()), b["id"].to_numpy()
+            found = []
+            for i in range(0, len(ids), QUERY_STRIP):
+                some = ids[i : i + QUERY_STRIP]
+                scores = units @ m[i : i + QUERY_STRIP].T
+                if exclude_self:
+                    scores[own[:, None] == some[None, :]] = -np.inf
+                j = min(k, len(own))
+                # all that tie with the last one come along, so that the smaller id can win
+                floor = np.partition(scores, len(own) - j, axis=0)[len(own) - j]
+                r, c = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
+                found.append(pd.DataFrame({"query": some[c], "id": own[r], "score": scores[r, c]}))
+            new = pd.concat(found)
             new = new if held is None else pd.concat([held, new])
             held = new.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
         if held is not None:

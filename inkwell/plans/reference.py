@@ -108,7 +108,7 @@ def health(spark: SparkSession, sf: str) -> Frame:
 
 def backlinks_by_title(spark: SparkSession, sf: str) -> Frame:
     """Raw link targets counted by normalised title, then set on every article of that title, others 0."""
-    links = table(spark, sf, "links").where("target_title RLIKE '^[ -~]*$'")
+    links = table(spark, sf, "links")
     counts = G.raw_links(links).groupBy(F.col("target").alias("lookup_title")).agg(F.count(F.lit(1)).alias("backlinks"))
     return A.update_by_key(_articles(spark, sf).select("article_id", "lookup_title"), counts, "lookup_title", {"backlinks": 0}).select("article_id", "backlinks")
 
@@ -119,7 +119,7 @@ def backlinks_by_id(spark: SparkSession, sf: str) -> Frame:
 
 
 def link_graph(spark: SparkSession, sf: str) -> Frame:
-    links = table(spark, sf, "links").where("target_title RLIKE '^[ -~]*$'")
+    links = table(spark, sf, "links")
     return G.resolve_links(G.raw_links(links), _articles(spark, sf))
 
 
@@ -154,8 +154,8 @@ def pagerank_converged(spark: SparkSession, sf: str) -> Frame:
 
 
 def multi_hop(spark: SparkSession, sf: str) -> Frame:
-    """What three hops reach from the articles whose id is divisible by 5000."""
-    start = table(spark, sf, "articles").where("article_id % 5000 = 0").select(F.col("article_id").alias("id"))
+    """What three hops reach from the articles whose id is divisible by 50."""
+    start = table(spark, sf, "articles").where("article_id % 50 = 0").select(F.col("article_id").alias("id"))
     return G.expand(_edges(spark, sf), start, 3)
 
 
@@ -163,8 +163,7 @@ def multi_hop(spark: SparkSession, sf: str) -> Frame:
 
 
 def pageviews_by_title(spark: SparkSession, sf: str) -> Frame:
-    views = table(spark, sf, "pageviews").where("title RLIKE '^[ -~]*$' AND title NOT LIKE '%\\%%'")
-    return count_views(views, "view_count").groupBy("lookup_title").agg(F.sum("views").alias("pageviews"))
+    return count_views(table(spark, sf, "pageviews"), "view_count").groupBy("lookup_title").agg(F.sum("views").alias("pageviews"))
 
 
 def _signals(spark: SparkSession, sf: str) -> Frame:
@@ -218,13 +217,13 @@ def accumulated_flushes(spark: SparkSession, sf: str) -> Frame:
 
 
 def title_normalise(spark: SparkSession, sf: str) -> Frame:
-    links = table(spark, sf, "links").where("target_title RLIKE '^[ -~]*$'").select("target_title").distinct()
+    links = table(spark, sf, "links").select("target_title").distinct()
     n = T.normalize_title(F.col("target_title"))
     return links.select("target_title", n.alias("normalised"), T.is_special_page(n).alias("special"))
 
 
 def title_match(spark: SparkSession, sf: str) -> Frame:
-    words = table(spark, sf, "part").select("p_name").where("p_name RLIKE '^[ -~]*$'").distinct()
+    words = table(spark, sf, "part").select("p_name").distinct()
     query = F.element_at(F.split("p_name", " "), 1)
     return words.select("p_name", F.round(T.title_match(F.col("p_name"), query), 6).alias("score"))
 
@@ -235,7 +234,7 @@ def skip_filter(spark: SparkSession, sf: str) -> Frame:
 
 
 def clean_text(spark: SparkSession, sf: str) -> Frame:
-    rows = table(spark, sf, "article").where("text IS NOT NULL AND text NOT LIKE '%ref%' AND text RLIKE '^[ -~\\n]*$'").select("page_id", "text").distinct()
+    rows = table(spark, sf, "article").where("text IS NOT NULL").select("page_id", "text").distinct()
     return rows.select("page_id", F.md5(T.clean_wikitext(F.col("text"))).alias("digest"))
 
 
@@ -245,12 +244,12 @@ def text_links(spark: SparkSession, sf: str) -> Frame:
 
 
 def doc_features(spark: SparkSession, sf: str) -> Frame:
-    rows = table(spark, sf, "documents").where("text RLIKE '^[ -~\\n\\t\\r]*$'")
+    rows = table(spark, sf, "documents").where("text IS NOT NULL")
     return rows.select("doc_id", F.length("text").alias("chars"), F.size(T.words(F.col("text"))).alias("words"), F.size(T.wikilinks(F.col("text"))).alias("links"))
 
 
 def url_decode(spark: SparkSession, sf: str) -> Frame:
-    rows = table(spark, sf, "pageviews").where("title RLIKE '^([ -$&-~]|%(2[0-9A-F]|[3-7][0-9A-F]|C3%[89AB][0-9A-F]))*$'").select("title").distinct()
+    rows = table(spark, sf, "pageviews").where("title IS NOT NULL").select("title").distinct()
     return rows.select("title", T.percent_decode(F.col("title")).alias("decoded"))
 
 
@@ -372,11 +371,15 @@ _L = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER
 _U = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n, label FROM embeddings"
 _KNN = f"""WITH u AS ({_U}), s AS (SELECT a.id AS query, b.id AS id, list_dot_product(a.v, b.v) / (a.n * b.n) AS score, a.label AS mine, b.label AS label FROM u a JOIN u b ON a.id <> b.id WHERE a.id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s)"""
-_NORM = "nullif(lower(replace(trim(split_part(trim(target_title), '#', 1)), ' ', '_')), '')"
+_WS = r"[\t-\r\x{85}\p{Z}]"
+_STRIP = "regexp_replace(X, '^WS+|WS+$', '', 'g')".replace("WS", _WS)
+_CUT = _STRIP.replace("X", "split_part(" + _STRIP.replace("X", "target_title") + ", '#', 1)")
+_NORM = f"nullif(lower(replace({_CUT}, ' ', '_')), '')"
 _PREFIX = "^(" + "|".join(T.SPECIAL_PREFIXES_DRAFT) + ")"
-_RAW = f"SELECT source_id, t AS target FROM (SELECT source_id, {_NORM} AS t FROM links WHERE regexp_full_match(target_title, '[ -~]*')) WHERE t IS NOT NULL AND NOT regexp_matches(t, '{_PREFIX}')"
+_RAW = f"SELECT source_id, t AS target FROM (SELECT source_id, {_NORM} AS t FROM links) WHERE t IS NOT NULL AND NOT regexp_matches(t, '{_PREFIX}')"
 _E = "SELECT DISTINCT source_id, target_id FROM pagelinks WHERE source_id IS NOT NULL AND target_id IS NOT NULL"
-_VIEWS = "SELECT lower(title) AS lookup_title, CAST(sum(view_count) AS BIGINT) AS pageviews FROM pageviews WHERE regexp_full_match(title, '[ -~]*') AND title NOT LIKE '%\\%%' ESCAPE '\\' AND project IN ('en.wikipedia', 'en') AND view_count > 0 AND title <> '-' AND title NOT LIKE '%:%' GROUP BY 1"
+_DECODED = "coalesce(try(url_decode(title)), url_decode(regexp_replace(title, '%[89A-Fa-f][0-9A-Fa-f]', chr(65533), 'g')))"
+_VIEWS = f"SELECT lower({_DECODED}) AS lookup_title, CAST(sum(view_count) AS BIGINT) AS pageviews FROM pageviews WHERE project IN ('en.wikipedia', 'en') AND view_count > 0 AND title <> '-' AND title NOT LIKE '%:%' GROUP BY 1"
 _IN = "SELECT target_id, count(*) AS n FROM pagelinks WHERE target_id IS NOT NULL GROUP BY 1"
 
 
@@ -410,7 +413,7 @@ SELECT m.label, n, coalesce(found, 0) AS found, round(CASE WHEN n > 1 THEN coale
     "in_degree": f"SELECT target_id, count(*) AS degree FROM ({_E}) GROUP BY 1",
     "graph_stats": f"SELECT count(*) AS edges, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets, round(count(*) / count(DISTINCT source_id), 6) AS avg_out FROM ({_E})",
     "pagerank_3": _pagerank_sql(3),
-    "multi_hop": f"""WITH e AS ({_E}), h0 AS (SELECT DISTINCT article_id AS id, 0 AS hop FROM articles WHERE article_id % 5000 = 0),
+    "multi_hop": f"""WITH e AS ({_E}), h0 AS (SELECT DISTINCT article_id AS id, 0 AS hop FROM articles WHERE article_id % 50 = 0),
 h1 AS (SELECT DISTINCT target_id AS id, 1 AS hop FROM e WHERE source_id IN (SELECT id FROM h0) AND target_id NOT IN (SELECT id FROM h0)), a1 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
 h2 AS (SELECT DISTINCT target_id AS id, 2 AS hop FROM e WHERE source_id IN (SELECT id FROM h1) AND target_id NOT IN (SELECT id FROM a1)), a2 AS (SELECT * FROM a1 UNION ALL SELECT * FROM h2),
 h3 AS (SELECT DISTINCT target_id AS id, 3 AS hop FROM e WHERE source_id IN (SELECT id FROM h2) AND target_id NOT IN (SELECT id FROM a2)) SELECT * FROM a2 UNION ALL SELECT * FROM h3""",
@@ -426,18 +429,18 @@ c AS (SELECT *, round((backlinks_pct + pageviews_pct + pagerank_pct) / 3, 6) AS
     "normalised_signals": f"SELECT article_id, round(CASE WHEN pagerank > 0 THEN pow(least(pagerank, 100.0) / 100.0, 0.8) ELSE 0 END, 6) AS pagerank_norm, round(CASE WHEN pageviews >= 1 THEN least(1.0, greatest(0.0, (log10(pageviews) - 1) / 6)) ELSE 0 END, 6) AS pageviews_norm FROM ({_L})",
     "scaled_pagerank": f"WITH x AS (SELECT article_id, pagerank FROM ({_L}) WHERE pagerank IS NOT NULL) SELECT article_id, round((pagerank - (SELECT min(pagerank) FROM x)) / (SELECT max(pagerank) - min(pagerank) FROM x) * 100, 6) AS scaled FROM x",
     "accumulated_flushes": "SELECT lookup_title, CAST(sum(backlink_count) AS BIGINT) AS backlink_count FROM backlink_counts WHERE lookup_title IS NOT NULL AND backlink_count IS NOT NULL AND flush_no IS NOT NULL GROUP BY 1",
-    "title_normalise": f"SELECT DISTINCT target_title, {_NORM} AS normalised, coalesce(regexp_matches({_NORM}, '{_PREFIX}'), TRUE) AS special FROM links WHERE regexp_full_match(target_title, '[ -~]*')",
+    "title_normalise": f"SELECT DISTINCT target_title, {_NORM} AS normalised, coalesce(regexp_matches({_NORM}, '{_PREFIX}'), TRUE) AS special FROM links",
     "title_match": """WITH p AS (SELECT DISTINCT p_name, lower(replace(p_name, '_', ' ')) AS t, lower(split_part(p_name, ' ', 1)) AS q FROM part), w AS (SELECT *, list_distinct(string_split(t, ' ')) AS tw FROM p),
 s AS (SELECT p_name, t, q, len(list_intersect(tw, [q])) / len(list_distinct(list_concat(tw, [q]))) AS j FROM w)
 SELECT p_name, round(CASE WHEN t = q THEN 1.0 ELSE CASE WHEN contains(t, q) THEN least(1.0, j * 1.5) ELSE j END END, 6) AS score FROM s""",
     "skip_filter": f"""SELECT DISTINCT title, regexp_matches(lower(title), '^({"|".join(T.SKIPPED_PREFIXES)})') OR regexp_matches(title, '^[0-9]{{4}}[-_]') OR (regexp_matches(lower(title), 'revision_act|_act_') AND regexp_matches(lower(title), 'statute|law|revision')) OR (regexp_matches(lower(title), 'honours|awards') AND regexp_matches(lower(title), 'birthday|new_year|queens|kings'))
 OR regexp_matches(lower(title), '_in_[0-9]{{4}}$') OR (contains(lower(title), 'commemorative') AND contains(lower(title), 'coin')) OR contains(lower(title), '(disambiguation)') AS skip,
 regexp_matches(lower(title), '^({"|".join(T.META_PREFIXES)})') OR contains(lower(title), '(disambiguation)') AS meta FROM articles WHERE title IS NOT NULL""",
-    "clean_text": r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\{[^}]*\}\}', '', 'g'), '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), '\[http[^\]]*\]', '', 'g'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) AS digest
-FROM (SELECT DISTINCT page_id, text FROM article WHERE text IS NOT NULL AND text NOT LIKE '%ref%' AND regexp_full_match(text, '[ -~\n]*'))""",
+    "clean_text": r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\{[^}]*\}\}', '', 'g'), '(?s)<ref[^>]*>.*?</ref>', '', 'g'), '<ref[^>]*/>', '', 'g'), '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), '\[http[^\]]*\]', '', 'g'), '<[^>]+>', '', 'g'), 'WS+', ' ', 'g'), '^WS+|WS+$', '', 'g')) AS digest
+FROM (SELECT DISTINCT page_id, text FROM article WHERE text IS NOT NULL)""".replace("WS", _WS),
     "text_links": r"SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS target FROM (SELECT DISTINCT page_id, text FROM article WHERE text IS NOT NULL)) GROUP BY 1, 2",
-    "doc_features": r"SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS INTEGER) AS links FROM documents WHERE regexp_full_match(text, '[ -~\n\t\r]*')",
-    "url_decode": "SELECT DISTINCT title, url_decode(title) AS decoded FROM pageviews WHERE regexp_full_match(title, '([ -$&-~]|%(2[0-9A-F]|[3-7][0-9A-F]|C3%[89AB][0-9A-F]))*')",
+    "doc_features": rf"SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(regexp_extract_all(text, '[^{_WS[1:]}+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS INTEGER) AS links FROM documents WHERE text IS NOT NULL",
+    "url_decode": f"SELECT DISTINCT title, {_DECODED} AS decoded FROM pageviews WHERE title IS NOT NULL",
     "length_rank": "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents",
     "duplicate_ids": "SELECT article_id, count(*) AS n FROM articles WHERE article_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "namespace_distribution": "SELECT page_namespace, count(*) AS n FROM page_tbl GROUP BY 1 ORDER BY n DESC, page_namespace NULLS FIRST LIMIT 10",

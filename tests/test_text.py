@@ -77,7 +77,7 @@ def test_multisignal(spark, sem, pr, pv, title, query, want, shown):
 
 
 def test_percent_decode(spark):
-    assert [_one(spark, x, T.percent_decode) for x in ("a+b", "C%2B%2B", "a%zz", None)] == ["a+b", "C++", "a%zz", None]
+    assert [_one(spark, x, T.percent_decode) for x in ("a+b", "C%2B%2B", "a%zz", "a%zz%20b%", "%E9x", None)] == ["a+b", "C++", "a%zz", "a%zz b%", "\ufffdx", None]
 
 
 def test_small_functions(spark):
