@@ -36,7 +36,7 @@ class OrphanTracker:
     that is there changes nothing. Empty batches change nothing.
     A reference at the very instant of its parent is resolved. keep_resolved: also store resolved references, which
     deletions then reopen; without it deletions only close the index entry. known: arrivals may be of keys that are
-    there; False spares looking for them where the caller sends each key once.
+    there or come twice; False spares looking for them, where the caller sends each key once and from a stored table.
     """
 
     spark: SparkSession
@@ -57,11 +57,11 @@ class OrphanTracker:
         """Take a batch; returns the references found orphaned that have a parent by now (late), ref columns only."""
         names = ["ref_table", "key", "source_id", "target", "at"]
         refs = refs.select(*names).where(F.col("key").isNotNull())
-        come = arrivals.select(*KEY, "since").where(F.col("key").isNotNull()).groupBy(*KEY).agg(F.min("since").alias("since"))
-        # only what is new is written; the index is the union of such parts
+        come = arrivals.select(*KEY, "since").where(F.col("key").isNotNull())
         if self.known:
-            come = come.join(self.index.select(*KEY), KEY, "left_anti")
-        come = cut(come, "index")
+            # only what is new is written; the index is the union of such parts
+            come = come.groupBy(*KEY).agg(F.min("since").alias("since")).join(self.index.select(*KEY), KEY, "left_anti")
+            come = cut(come, "index")
         index = self.index.unionByName(come)
         probed = salted_join(refs.unionByName(self.pending), index, KEY, self.hot).select(*names, "since")
         if not self.keep_resolved:
@@ -102,7 +102,7 @@ def track(refs: DataFrame, arrivals: DataFrame, months: int = 1, hot_share: floa
     number = lambda at: F.floor(month_number(F.col(at)) / months).cast("bigint")
     staged = cut(refs.withColumn("batch", number("at")), "refs", ["batch"])
     batches = [r[0] for r in staged.select("batch").where("batch is not null").distinct().orderBy("batch").collect()]
-    parents = cut(arrivals.groupBy(*KEY).agg(F.min("since").alias("since")).withColumn("batch", F.when(F.col("since") > ALWAYS, number("since")).otherwise(0)), "parents")
+    parents = cut(arrivals.groupBy(*KEY).agg(F.min("since").alias("since")).withColumn("batch", F.when(F.col("since") > ALWAYS, number("since")).otherwise(0)), "parents", ["batch"])
     tracker = OrphanTracker(spark, cut(hot_keys(staged, KEY, hot_share), "hot"), known=False)
     late = None
     for i, b in enumerate(batches or [0]):
