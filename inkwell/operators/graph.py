@@ -127,3 +127,9 @@ def beam(edges: DataFrame, start: DataFrame, score: str, per_node: int = 3, widt
 def sparsity(edges: int, vertices: int) -> float:
     """Percentage of absent edges."""
     return 100.0 * (1 - edges / vertices**2) if vertices else 0.0
+
+
+def inlinks(tuples: DataFrame, pages: DataFrame, page_id: int) -> DataFrame:
+    """The tuples that lead to a page, with the title of their source where the page table has it."""
+    rows = tuples.where(F.col("pl_target_id") == page_id).select(F.col("pl_from").alias("page_id"), F.col("pl_from_namespace").alias("namespace"))
+    return rows.join(pages.groupBy("page_id").agg(F.min("page_title").alias("title")), "page_id", "left")

@@ -206,6 +206,33 @@ class IvfPq:
         return self.rows.where(F.col("list").isin(sorted(by_list))).mapInPandas(look, "query bigint, id bigint, guess double, score double")
 
 
+#: Rows under which an index stays flat.
+FLAT_ROWS = 1_000
+
+
+def build(index: DataFrame, parts: int = 16) -> IvfPq | None:
+    """V9: the inverted index, or None where the flat one is small enough to be searched as it is."""
+    return None if index.count() < FLAT_ROWS else IvfPq.train(index, parts=parts).add(index)
+
+
+def search(index: DataFrame, built: IvfPq | None, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest by the inverted index, or by the flat one where there's none."""
+    return search_exact(index, queries, k) if built is None else built.search(queries, k)
+
+
+def reconstruct(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """Id and unit vector of given ids; unknown ones give no row."""
+    return index.join(ids.select("id").distinct(), "id", "left_semi").select("id", "unit")
+
+
+def consistency(articles: DataFrame, index: DataFrame) -> DataFrame:
+    """Ids of the table and of the index, those only in one of them, and whether both hold the same."""
+    a = articles.select(F.col("article_id").alias("id"), F.lit(1).alias("a")).where("id IS NOT NULL").distinct()
+    b = index.select("id", F.lit(1).alias("b")).distinct()
+    row = a.join(b, "id", "full").agg(F.count("a").alias("articles"), F.count("b").alias("vectors"), F.count_if(F.col("b").isNull()).alias("without_vector"), F.count_if(F.col("a").isNull()).alias("without_article"))
+    return row.withColumn("consistent", (F.col("without_vector") == 0) & (F.col("without_article") == 0))
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean share of each query's true neighbours (query, id) that were found."""
     hit = truth.join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")

@@ -25,7 +25,7 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.005) -> DataFrame:
     Counts are combined before the shuffle, so the hottest key costs one partial count a task.
     """
     total = df.count()
-    return df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).count().where(F.col("count") > share * total).select(*keys)
+    return df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share * total).select(*keys)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "left", salts: int = 32, spread: Column | None = None) -> DataFrame:
@@ -54,7 +54,8 @@ def select_ranks(rows: DataFrame, ranks: DataFrame, groups: list[str], value: st
     """Exact order statistics of each group: the least value whose cumulated weight reaches a rank.
 
     rows: groups, value (bigint), weight (bigint, 1 if not given); null groups and values, and weights under 1, are
-    left out. ranks: groups, rank_id, rank (from 1). Returns groups, rank_id, value; ranks beyond a group's weight and
+    left out. ranks: groups, rank_id, rank (from 1). Group columns can't be named x, v, w, prefix, digit or left; other
+    columns of either table don't matter. Returns groups, rank_id, value; ranks beyond a group's weight and
     ranks of groups without rows give no row; an empty input gives an empty table. Repeated values count repeatedly.
 
     Each round counts, for every still open prefix of the values' bits, the weight at each next digit; such counts

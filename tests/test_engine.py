@@ -12,6 +12,7 @@ from inkwell.operators import articles as A
 from inkwell.operators import graph as G
 from inkwell.operators import index as V
 from inkwell.operators import quality as Q
+from inkwell.operators.probe import measure
 from inkwell.operators.ranking import Service
 from inkwell.operators.report import html_report, json_report
 from inkwell.sources import wiki as W
@@ -177,6 +178,31 @@ def test_index_recall_and_storage(spark, flat, tmp_path, monkeypatch):
     assert again.search(queries.limit(0), 10).count() == 0
 
 
+def test_small_indexes_stay_flat(spark, flat):
+    assert V.build(flat) is None
+    queries = flat.where("id = 3").select(F.col("id").alias("query"), "unit")
+    assert V.search(flat, None, queries, 2).count() == 2
+    assert [r["id"] for r in V.reconstruct(flat, spark.createDataFrame([(3,), (3,), (77_777,)], "id bigint")).collect()] == [3]
+    row = V.consistency(spark.createDataFrame([(3,), (4,), (88_888,), (None,)], "article_id bigint"), flat).first()
+    assert (row["without_vector"], row["without_article"], row["consistent"]) == (1, 898, False)
+
+
+def test_probe(spark):
+    def call(i):
+        if i == 2:
+            raise ValueError
+
+    out = measure(spark, "x", call, 4, workers=2, rate=1000)
+    assert sorted((r["i"], r["success"]) for r in out.collect()) == [(0, True), (1, True), (2, False), (3, True)]
+    assert Q.throughput(out, "name", "latency_ms", "success").first()["success_rate"] == 75
+
+
+def test_inlinks(spark):
+    tuples = spark.createDataFrame([(1, 0, 2), (9, 1, 2), (5, 0, 3)], "pl_from bigint, pl_from_namespace int, pl_target_id bigint")
+    pages = spark.createDataFrame([(1, "A"), (1, "A")], "page_id bigint, page_title string")
+    assert sorted((r["page_id"], r["title"]) for r in G.inlinks(tuples, pages, 2).collect()) == [(1, "A"), (9, None)]
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, None), (4, "")], "id int, t string")
     got = {r["id"]: r["v"] for r in df.select("id", hash_encoder(64)(F.col("t")).alias("v")).collect()}

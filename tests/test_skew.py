@@ -71,6 +71,15 @@ def test_salted_join_equals_join(spark):
         assert sorted(map(str, got)) == sorted(map(str, left.join(right, "k", how).select("k", "v", "w").collect()))
 
 
+def test_clashing_names_and_nulls(spark):
+    df = spark.createDataFrame([("a", 1, None, 3), ("a", None, "x", 3), (None, 2, "y", None)], "count string, v bigint, k string, n bigint")
+    assert [r[0] for r in hot_keys(df, ["count"], 0.5).collect()] == ["a"]
+    got = key_quantiles(df, "count", "n", [50]).collect()
+    assert [tuple(r) for r in got] == [("a", 2, 2, 3)]
+    named = frequent_keys(df.withColumn("grp", F.lit("g")).withColumn("h", F.lit(0)), "grp", "count", 2).collect()
+    assert [(r["grp"], r["count"], r["n_rows"]) for r in named] == [("g", "a", 2)]
+
+
 def test_positions_are_a_total_order(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(500)], "a int, b int")
     got = [r["rank"] for r in with_positions(df, [F.desc("a"), F.asc("b")]).orderBy(F.desc("a"), "b").collect()]
