@@ -71,6 +71,15 @@ def test_markup_of_awkward_rows(spark):
     assert cleaned(df.limit(0), "page_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("piece", ["*a word ", "_a b ", "''a ", "<ref>text ", "<pre>x ", "<math>x ", "$x + ", "`x ", "{a", "[[a|", "[[File:a|b|c|", "\\textbf{", "\\begin{equation} ", "| a ", "== a ", "<!-- x ", "{{x|"])
+def test_unclosed_markup_takes_time_in_proportion(piece):
+    import time
+
+    began = time.perf_counter()
+    clean(piece * 10_000)
+    assert time.perf_counter() - began < 10
+
+
 def test_formulas():
     assert tex_to_text(r"\bar{x} = \frac{1}{n}\sum_{i=1}^{n} x_i") == "x̄ = (1)/(n)∑_(i=1)^n x_i"
 
@@ -305,6 +314,11 @@ def test_whole_texts_stay(text):
     assert restore(text) == (text, False)
 
 
+def test_long_sentences_are_whole():
+    text = "größere Straße " * 5_000
+    assert restore(_misread(text, "utf-8", "cp1252")) == (text, True) and restore(text) == (text, False)
+
+
 def test_damage_beyond_repair_is_found(spark):
     rows = [(1, "Sp�ter", None), (2, None, None), (3, "", None), (4, LONG, None), (5, "ok. CafÃ©. fine", None), (5, "ok. CafÃ©. fine", None)]
     got = [tuple(r) for r in restored_texts(spark.createDataFrame(rows, "doc_id bigint, text string, restored int"), "doc_id", "text").orderBy("doc_id").collect()]
