@@ -20,16 +20,21 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return frequent_keys(links.unionByName(counts), "field", "key").select("field", "key")
 
 
+def _as_double(df: DataFrame) -> DataFrame:
+    """Quantiles as doubles, which hold them exactly, as they may be null."""
+    return df.withColumns({f"p{p}": F.col(f"p{p}").cast("double") for p in PERCENTS})
+
+
 def p2_inlinks(spark: SparkSession, sf: str) -> DataFrame:
     """Per target: rows, and exact median and 95th percentile of when its links were seen."""
     links = table(spark, sf, "pagelinks").select("target_id", micros(F.col("seen_at")).alias("seen"))
-    return key_quantiles(links, "target_id", "seen", PERCENTS)
+    return _as_double(key_quantiles(links, "target_id", "seen", PERCENTS))
 
 
 def p2_title_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per title: flushes (a flush written twice counts once) and quantiles of their counts."""
     counts = table(spark, sf, "backlink_counts").distinct()
-    return key_quantiles(counts, "lookup_title", "backlink_count", PERCENTS)
+    return _as_double(key_quantiles(counts, "lookup_title", "backlink_count", PERCENTS))
 
 
 def p2_title_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +95,7 @@ WITH d AS ({rows}), r AS (
   SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS i, count(*) OVER (PARTITION BY k) AS n FROM d WHERE v IS NOT NULL),
 q AS (SELECT k, min(CASE WHEN i >= greatest(1, (50 * n + 99) // 100) THEN v END) AS p50, min(CASE WHEN i >= greatest(1, (95 * n + 99) // 100) THEN v END) AS p95 FROM r GROUP BY k),
 s AS (SELECT k, count(*) AS n_rows, count(v) AS n_values FROM d GROUP BY k)
-SELECT s.k AS {key}, n_rows, n_values, p50, p95 FROM s LEFT JOIN q ON s.k = q.k
+SELECT s.k AS {key}, n_rows, n_values, CAST(p50 AS DOUBLE) AS p50, CAST(p95 AS DOUBLE) AS p95 FROM s LEFT JOIN q ON s.k = q.k
 """
 
 ORACLES = {

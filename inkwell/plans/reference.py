@@ -254,7 +254,7 @@ def url_decode(spark: SparkSession, sf: str) -> Frame:
 
 
 def length_rank(spark: SparkSession, sf: str) -> Frame:
-    return Q.length_rank(table(spark, sf, "documents"), "doc_id", "n_chars")
+    return Q.length_rank(table(spark, sf, "documents"), "doc_id", "n_chars").withColumn("n_chars", F.col("n_chars").cast("double"))
 
 
 # ---- quality and experiments
@@ -441,7 +441,7 @@ FROM (SELECT DISTINCT page_id, text FROM article WHERE text IS NOT NULL)""".repl
     "text_links": r"SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS target FROM (SELECT DISTINCT page_id, text FROM article WHERE text IS NOT NULL)) GROUP BY 1, 2",
     "doc_features": rf"SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(regexp_extract_all(text, '[^{_WS[1:]}+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)) AS INTEGER) AS links FROM documents WHERE text IS NOT NULL",
     "url_decode": f"SELECT DISTINCT title, {_DECODED} AS decoded FROM pageviews WHERE title IS NOT NULL",
-    "length_rank": "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents",
+    "length_rank": "SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents",
     "duplicate_ids": "SELECT article_id, count(*) AS n FROM articles WHERE article_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "namespace_distribution": "SELECT page_namespace, count(*) AS n FROM page_tbl GROUP BY 1 ORDER BY n DESC, page_namespace NULLS FIRST LIMIT 10",
     "top_targets": "SELECT target_id, n, coalesce(title, 'NOT IN PAGE TABLE') AS title FROM (SELECT target_id, count(*) AS n FROM pagelinks WHERE target_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, target_id LIMIT 20) LEFT JOIN (SELECT page_id, min(page_title) AS title FROM page_tbl WHERE page_namespace = 0 GROUP BY 1) ON page_id = target_id",
