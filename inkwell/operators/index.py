@@ -1,7 +1,8 @@
 """Vector search: exact scan, inverted lists with product quantisation, and the similarity mesh.
 
 The coarse and the product quantisers are fitted on a bounded sample (TRAIN_ROWS, a documented parameter); every row is
-indexed. Lists are a partition column of the stored index, so a search reads only those it probes.
+indexed. Lists are a partition column of the stored index, so a search reads only those it probes. How many it probes is
+chosen when the index is built, by the recall of a sample of its own rows against the exact search.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.vectors import dot, is_finite, l2_normalize
+from inkwell.session import cut, drop_cut
 
 #: Most rows that the quantisers are fitted on.
 TRAIN_ROWS = 100_000
@@ -23,6 +25,14 @@ TRAIN_ROWS = 100_000
 QUERY_BLOCK = 5_000
 #: Queries that a batch of the index is multiplied with at once.
 QUERY_STRIP = 512
+#: Mean recall that a built index must reach on its sample: 0.9, and 0.02 for the error of the sample.
+RECALL = 0.92
+#: Rows of the index, those of the smallest id hashes, that are asked for their RECALL_K nearest to measure it.
+RECALL_QUERIES, RECALL_K = 500, 10
+#: Fewest lists probed and smallest pool, as in the reference.
+PROBES, POOL = 32, 200
+#: Candidates that a task of a search holds before it drops those beyond the pool.
+HELD = 2_000_000
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,6 +124,8 @@ class IvfPq:
     centres: np.ndarray
     codebooks: list[np.ndarray]
     rows: DataFrame | None = None
+    probes: int = PROBES
+    pool: int = POOL
 
     @classmethod
     def train(cls, index: DataFrame, lists: int | None = None, parts: int = 16, codes: int = 256, sample: int = TRAIN_ROWS) -> IvfPq:
@@ -127,7 +139,7 @@ class IvfPq:
         return cls(centres, [_kmeans(rest[:, i * width : (i + 1) * width], codes, seed=i) for i in range(parts)])
 
     def add(self, index: DataFrame) -> IvfPq:
-        """Index every row: list, code (one byte a part) and the unit vector for re-ranking."""
+        """Index every row: list, code (one byte a part) and the unit vector for re-ranking; then tune the search."""
         centres, books = self.centres, self.codebooks
         width = centres.shape[1] // len(books)
 
@@ -141,14 +153,37 @@ class IvfPq:
                 code = np.stack([((c**2).sum(1)[None, :] - 2 * rest[:, i * width : (i + 1) * width] @ c.T).argmin(1) for i, c in enumerate(books)], 1).astype(np.uint8)
                 yield pd.DataFrame({"id": b["id"], "unit": b["unit"], "code": [r.tobytes() for r in code], "list": at.astype(np.int32)})
 
-        self.rows = index.select("id", "unit").mapInPandas(encode, "id bigint, unit array<double>, code binary, list int")
+        self.rows = cut(index.select("id", "unit").mapInPandas(encode, "id bigint, unit array<double>, code binary, list int"), "ivf")
+        self._tune(index)
         return self
 
+    def _tune(self, index: DataFrame) -> None:
+        """Set probes and pool so that RECALL_QUERIES rows find RECALL of their RECALL_K nearest by search_exact().
+
+        First as many probes as reach the lists of that many neighbours; then, as codes lose some too, a search is
+        measured, and lists and pool grow until it finds enough. With all lists and all rows it finds everything.
+        """
+        sample = index.orderBy(F.xxhash64("id"), "id").limit(RECALL_QUERIES).select(F.col("id").alias("query"), "unit")
+        sample = index.sparkSession.createDataFrame(sample.collect(), sample.schema)
+        truth = cut(search_exact(index, sample, RECALL_K), "truth")
+        near = truth.join(self.rows.select("id", "list"), "id").join(sample, "query").select("list", "unit").collect()
+        if not near:
+            return
+        m = np.array([r["unit"] for r in near])
+        scores = m @ self.centres.T - (self.centres**2).sum(1) / 2
+        before = (scores > scores[np.arange(len(near)), [r["list"] for r in near]][:, None]).sum(1)
+        lists, n = len(self.centres), self.rows.count()
+        self.probes = min(lists, max(self.probes, int(np.sort(before)[int(np.ceil(RECALL * len(before))) - 1]) + 1))
+        while recall(self.search(sample, RECALL_K), truth).first()[0] < RECALL and (self.probes < lists or self.pool < n):
+            self.probes, self.pool = min(lists, self.probes + -(-lists // 20)), min(n, self.pool * 5 // 4)
+        drop_cut(truth)
+
     def save(self, path: str) -> None:
         """V9, K9: rows by list, so that probing prunes partitions; the centres beside them."""
         self.rows.repartition("list").write.partitionBy("list").mode("overwrite").parquet(f"{path}/rows")
         spark = self.rows.sparkSession
         made = [(i, "centre", c.tolist()) for i, c in enumerate(self.centres)] + [(i * 256 + j, "code", c.tolist()) for i, b in enumerate(self.codebooks) for j, c in enumerate(b)]
+        made.append((0, "search", [float(self.probes), float(self.pool)]))
         spark.createDataFrame(made, "n int, kind string, v array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
     @classmethod
@@ -160,14 +195,17 @@ class IvfPq:
         for r in rows:
             if r["kind"] == "code":
                 books.setdefault(r["n"] // 256, []).append(r["v"])
-        return cls(centres, [np.array(books[i]) for i in sorted(books)], spark.read.parquet(f"{path}/rows"))
+        tuned = [int(x) for r in rows if r["kind"] == "search" for x in r["v"]]
+        return cls(centres, [np.array(books[i]) for i in sorted(books)], spark.read.parquet(f"{path}/rows"), *tuned)
 
-    def search(self, queries: DataFrame, k: int, probes: int = 32, pool: int = 200, exclude_self: bool = True) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, pool: int | None = None, exclude_self: bool = True) -> DataFrame:
         """query, id, rank, score: the k best of a pool that the codes choose from the probed lists.
 
         Each query meets the rows of its `probes` nearest lists only; distances by table look-up choose `pool` of them,
-        and these are ranked by their vectors. Queries (query, unit) are taken in blocks of QUERY_BLOCK.
+        and these are ranked by their vectors. Both are as tuned where not given, which holds for k up to RECALL_K.
+        Queries (query, unit) are taken in blocks of QUERY_BLOCK.
         """
+        probes, pool = probes or self.probes, pool or self.pool
         parts = [self._search_block(names, m, probes, pool, exclude_self) for names, m in _query_blocks(queries)]
         hits = reduce(DataFrame.unionByName, parts) if parts else self.rows.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("guess"), F.lit(0.0).alias("score")).limit(0)
         pooled = hits.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("guess"), "id"))).where(F.col("n") <= pool)
@@ -188,20 +226,44 @@ class IvfPq:
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, vectors, by, tab, first = shared.value
-            held: dict[int, list[pd.DataFrame]] = {}
+            held: list[tuple[np.ndarray, ...]] = []
+            size = 0
+
+            def best() -> list[tuple[np.ndarray, ...]]:
+                """The pool of each query among what is held: query number, id, guess, score."""
+                if not held:
+                    return []
+                q, i, g, s = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((i, -g, q))
+                q = q[order]
+                starts = np.searchsorted(q, q)
+                keep = np.arange(len(q)) - starts < pool
+                return [(q[keep], *(x[order][keep] for x in (i, g, s)))]
+
             for b in batches:
                 for c, part in b.groupby("list"):
                     code = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
                     units, own = np.stack(part["unit"].to_numpy()), part["id"].to_numpy()
-                    for i in by.get(int(c), []):
-                        guess = first[i, c] + sum(tab[p][i][code[:, p]] for p in range(code.shape[1]))
+                    asked = np.array(by.get(int(c), []), dtype=np.int64)
+                    for j in range(0, len(asked), QUERY_STRIP):
+                        some = asked[j : j + QUERY_STRIP]
+                        guess = first[some, c][:, None] + sum(tab[p][some][:, code[:, p]] for p in range(code.shape[1]))
                         if exclude_self:
-                            guess = np.where(own == ids[i], -np.inf, guess)
-                        top = np.argsort(-guess, kind="stable")[:pool]
-                        top = top[guess[top] > -np.inf]
-                        held.setdefault(i, []).append(pd.DataFrame({"query": ids[i], "id": own[top], "guess": guess[top], "score": units[top] @ vectors[i]}))
-            for parts in held.values():
-                yield pd.concat(parts).nlargest(pool, "guess")
+                            guess[ids[some][:, None] == own[None, :]] = -np.inf
+                        if len(own) > pool:
+                            # all that tie with the last one come along, so that the smaller id can win
+                            floor = np.partition(guess, len(own) - pool, axis=1)[:, len(own) - pool]
+                        else:
+                            floor = np.full(len(some), -np.inf)
+                        r, col = np.nonzero((guess >= floor[:, None]) & (guess > -np.inf))
+                        held.append((some[r], own[col], guess[r, col], (vectors[some] @ units.T)[r, col]))
+                        size += len(r)
+                        if size > HELD:
+                            held = best()
+                            # where the pools alone are nearly as many, the next drop waits for as many again
+                            size = min(len(held[0][0]), HELD // 2)
+            for q, i, g, s in best():
+                yield pd.DataFrame({"query": ids[q], "id": i, "guess": g, "score": s})
 
         return self.rows.where(F.col("list").isin(sorted(by_list))).mapInPandas(look, "query bigint, id bigint, guess double, score double")
 

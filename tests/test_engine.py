@@ -178,6 +178,18 @@ def test_index_recall_and_storage(spark, flat, tmp_path, monkeypatch):
     assert again.search(queries.limit(0), 10).count() == 0
 
 
+def test_index_recall_does_not_shrink_with_size(spark, tmp_path):
+    units = np.random.default_rng(5).normal(size=(20_000, 64))  # no clusters: a fixed number of lists finds three quarters
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(units)], "id bigint, v array<double>")
+    index = V.flat_index(made, "id", "v").cache()
+    queries = index.where("id % 100 = 0").select(F.col("id").alias("query"), "unit")
+    built = V.IvfPq.train(index).add(index)
+    assert V.recall(built.search(queries, 10), V.search_exact(index, queries, 10)).first()[0] >= 0.9
+    built.save(str(tmp_path / "index"))
+    again = V.IvfPq.load(spark, str(tmp_path / "index"))
+    assert (again.probes, again.pool) == (built.probes, built.pool) and again.probes > 32
+
+
 def test_small_indexes_stay_flat(spark, flat):
     assert V.build(flat) is None
     queries = flat.where("id = 3").select(F.col("id").alias("query"), "unit")
