@@ -73,8 +73,9 @@ def knn_label_recall(spark: SparkSession, sf: str) -> Frame:
 
 
 def domain_connectivity(spark: SparkSession, sf: str) -> Frame:
+    """By label: ordered pairs of members of which the second is among the ten nearest of the first, over n(n-1); all members are asked."""
     index = _flat(spark, sf)
-    near = V.search_exact(index, _queries(index), 10).select(F.col("query").alias("source"), F.col("id").alias("target"))
+    near = V.search_exact(index, _queries(index, 1), 10).select(F.col("query").alias("source"), F.col("id").alias("target"))
     members = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"))
     return Q.connectivity(near, members, "label")
 

@@ -1,7 +1,9 @@
 """What the plans of the queries must look like: pruned scans, pushed filters, no product of tables, no Python in the core."""
 
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -28,3 +30,17 @@ def test_core_plans_stay_in_the_jvm(spark, name):
 @pytest.mark.parametrize("name", ["coverage_report", "backlink_buckets", "signal_2x2", "health"])
 def test_coverage_is_one_pass(spark, name):
     assert _plan(entry.queries()[name](spark, SF)).count("FileScan") == 1
+
+
+def test_connectivity_asks_every_member(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vectors, labels = rng.normal(size=(120, 8)), [i % 3 for i in range(120)]
+    made = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(vectors, labels, strict=True))], "vec_id bigint, embedding array<double>, label int")
+    made.write.parquet(f"{tmp_path}/embeddings.parquet")
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = units @ units.T
+    np.fill_diagonal(scores, -np.inf)
+    found = Counter(labels[i] for i in range(120) for j in np.argsort(-scores[i])[:10] if labels[i] == labels[j])
+    got = {r["label"]: r for r in entry.queries()["domain_connectivity"](spark, str(tmp_path)).collect()}
+    assert {g: (r["n"], r["found"]) for g, r in got.items()} == {g: (40, found[g]) for g in range(3)}
+    assert all(r["connectivity"] == round(found[g] / (40 * 39), 6) for g, r in got.items())
