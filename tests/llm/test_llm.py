@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from inkwell.llm import mojibake
 from inkwell.llm.block_knn import nearest, similar_pairs
 from inkwell.llm.borda import borda, latest_rows, score_ranks
 from inkwell.llm.bpe import BYTE_BPE, TOKENIZERS, count_tokens, encode_corpus, encoder
@@ -314,6 +316,27 @@ def test_whole_texts_stay(text):
     assert restore(text) == (text, False)
 
 
+def test_letters_misread_as_typography_are_found(spark):
+    damaged = _misread("Il lùngo mùro del dùca era dùro.", "cp850", "cp1252")
+    assert damaged == "Il l—ngo m—ro del d—ca era d—ro." and restore(damaged)[1]
+    got = restored_texts(spark.createDataFrame([(1, damaged), (2, "He left — “late” – for 30 °C.")], "doc_id bigint, text string"), "doc_id", "text")
+    assert sorted((r["doc_id"], r["damaged"]) for r in got.collect()) == [(1, True), (2, False)]
+
+
+@pytest.mark.parametrize("sign", "“”‘’–—…«»°€")
+def test_all_implausible_signs_are_searched(sign):
+    for a in ("", "a", "B", " ", "1", ".", sign, "«"):
+        for b in ("", "a", "B", " ", "1", ".", sign, "°"):
+            for text in (a + sign + b, f"x{a}{sign}{b}x", f" {a}{sign}{b} "):
+                searched = mojibake._misread_signs(text) or re.search(mojibake._DASH, text)
+                assert not mojibake.implausibility(text) or searched, text
+
+
+@pytest.mark.parametrize("text", ["A man—a plan—a canal—panama.", "The room—cold and dark—was empty—or so it seemed—until dawn.", "Hmm—he said—that was it—or so—perhaps—at least."])
+def test_dashes_between_words_stay(text):
+    assert restore(text) == (text, False)
+
+
 def test_long_sentences_are_whole():
     text = "größere Straße " * 5_000
     assert restore(_misread(text, "utf-8", "cp1252")) == (text, True) and restore(text) == (text, False)
