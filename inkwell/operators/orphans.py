@@ -92,11 +92,12 @@ class OrphanTracker:
         return self.pending.groupBy("ref_table", month(F.col("at")).alias("period")).agg(F.count(F.lit(1)).alias("pending"))
 
 
-def track(refs: DataFrame, arrivals: DataFrame, months: int = 1, hot_share: float = 0.005) -> tuple[DataFrame, DataFrame]:
+def track(refs: DataFrame, arrivals: DataFrame, months: int = 1, hot_share: float = 0.005, snapshots: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Run a tracker over all history in batches of some months; returns late and absent references.
 
     Batches go by the references' `at`; arrivals join the batch in which they fall, those before the first reference the
     first batch, those after the last one the last. References without a key or time come with the last batch.
+    snapshots: gets the snapshot() after each batch, with the first month of the batch as `batch`.
     """
     spark = refs.sparkSession
     number = lambda at: F.floor(month_number(F.col(at)) / months).cast("bigint")
@@ -111,4 +112,7 @@ def track(refs: DataFrame, arrivals: DataFrame, months: int = 1, hot_share: floa
         arrived = (F.lit(True) if first else F.col("batch") > batches[i - 1]) & (F.lit(True) if last else F.col("batch") <= b)
         found = tracker.advance(staged.where(mine).drop("batch"), parents.where(arrived).drop("batch"))
         late = found if late is None else late.unionByName(found)
+        if snapshots is not None and batches:
+            first_month = b * months
+            snapshots.append(tracker.snapshot().select(F.lit(f"{first_month // 12:04d}-{first_month % 12 + 1:02d}").alias("batch"), "ref_table", "period", "pending"))
     return late, tracker.pending

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +90,18 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return p4_found(spark, sf).groupBy("ref_table", "period", "reason").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_inlinks, p2_title_counts, p2_title_totals, p4_found, p4_pagelinks, p4_report)}
+def p4_waiting(spark: SparkSession, sf: str) -> DataFrame:
+    """References that waited for their parent at the end of each month's batch, by table and month of the reference.
+
+    Rows as they come, not distinct ones as in p4_found. A month in which nothing waited has no rows.
+    """
+    snapshots: list[DataFrame] = []
+    _, absent = track(*orphan_inputs(spark, sf), snapshots=snapshots)
+    none = absent.select(F.lit("").alias("batch"), "ref_table", F.lit("").alias("period"), F.lit(0).cast("bigint").alias("pending")).limit(0)
+    return cut(reduce(DataFrame.unionByName, snapshots, none), "waiting")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_inlinks, p2_title_counts, p2_title_totals, p4_found, p4_pagelinks, p4_report, p4_waiting)}
 
 _QUANTILES = """
 WITH d AS ({rows}), r AS (

@@ -52,6 +52,14 @@ def test_track_equals_one_join(spark, months):
     assert sorted(r["source_id"] for r in absent.collect()) == sorted(i for i, (k, _) in enumerate(refs) if k is not None and k not in parents)
 
 
+def test_track_counts_what_waits_after_each_batch(spark):
+    refs = _refs(spark, ("a", AT), ("a", AT), ("b", AT), ("b", AT + 31 * DAY), ("c", AT + 62 * DAY))
+    snapshots = []
+    track(refs, _parents(spark, ("a", AT + 31 * DAY), ("c", ALWAYS)), snapshots=snapshots)
+    got = sorted((r["batch"], r["period"], r["pending"]) for s in snapshots for r in s.collect())
+    assert got == [("2024-01", "2024-01", 3), ("2024-02", "2024-01", 1), ("2024-02", "2024-02", 1), ("2024-03", "2024-01", 1), ("2024-03", "2024-02", 1)]
+
+
 def test_track_of_empty_tables(spark):
     late, absent = track(_refs(spark), _parents(spark))
     assert late.count() == absent.count() == 0
