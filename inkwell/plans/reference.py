@@ -310,8 +310,12 @@ def position_variance(spark: SparkSession, sf: str) -> Frame:
 
 
 def identical_runs(spark: SparkSession, sf: str) -> Frame:
-    rows = table(spark, sf, "nation").withColumn("run", F.explode(F.array(F.lit(1), F.lit(2))))
-    return Q.identical_runs(rows, "run", "n_nationkey", "n_name")
+    """Whether two searches for the 32 nearest of vector 0, the second over rows dealt out anew, list the same ids and scores."""
+    index = _flat(spark, sf)
+    asked = index.where("id = 0").select(F.col("id").alias("query"), "unit")
+    page = F.struct("id", F.round("score", 6).alias("score")).alias("item")
+    runs = [V.search_exact(rows, asked, 32).select(F.lit(i).alias("run"), "rank", page) for i, rows in enumerate((index, index.repartition(7)), 1)]
+    return Q.identical_runs(runs[0].unionByName(runs[1]), "run", "rank", "item")
 
 
 def overlap_sets(spark: SparkSession, sf: str) -> Frame:

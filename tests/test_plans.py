@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from inkwell.plans import reference
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +34,19 @@ def test_coverage_is_one_pass(spark, name):
     assert _plan(entry.queries()[name](spark, SF)).count("FileScan") == 1
 
 
+@pytest.mark.parametrize(("change", "same"), [("id", True), ("id + CASE WHEN rank = 32 THEN 1 ELSE 0 END", False)])
+def test_runs_that_differ_are_seen(spark, monkeypatch, change, same):
+    search, calls = reference.V.search_exact, []
+
+    def second_differs(*args):
+        calls.append(args)
+        found = search(*args)
+        return found if len(calls) == 1 else found.withColumn("id", F.expr(change))
+
+    monkeypatch.setattr(reference.V, "search_exact", second_differs)
+    assert tuple(entry.queries()["identical_runs"](spark, SF).first()) == (2, same)
+
+
 def test_connectivity_asks_every_member(spark, tmp_path):
     rng = np.random.default_rng(3)
     vectors, labels = rng.normal(size=(120, 8)), [i % 3 for i in range(120)]
