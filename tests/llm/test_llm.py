@@ -86,6 +86,13 @@ def test_formulas():
     assert tex_to_text(r"\bar{x} = \frac{1}{n}\sum_{i=1}^{n} x_i") == "x̄ = (1)/(n)∑_(i=1)^n x_i"
 
 
+@pytest.mark.parametrize("text", ["  - one\n  - two", "\t+ one", "Heading\n  ----\ntext", "a\n\n   ===\n", "\ue000- one", "a\n \n  - b"])
+def test_indented_markup_is_found(spark, text):
+    assert clean(text)[1] > 0
+    got = cleaned(spark.createDataFrame([(1, text)], "page_id bigint, text string"), "page_id", "text").first()
+    assert (got["clean"], got["marks"]) == clean(text)
+
+
 # ---- 3 titles
 
 
