@@ -93,6 +93,21 @@ def test_indented_markup_is_found(spark, text):
     assert (got["clean"], got["marks"]) == clean(text)
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("x *a *b *c *d e* f* g* h* y", "x a b c d e f g h y"),
+        ("x ''a ''b ''c ''d e'' f'' g'' h'' y", "x a b c d e f g h y"),
+        ("[[File:a.jpg|thumb|" * 7 + "cap" + "]]" * 7, "cap"),
+        ("\\textbf{" * 30 + "deep" + "}" * 30, "deep"),
+        ("a &amp;amp;amp;amp;lt; b", "a < b"),
+("$" + "x^{" * 12 + "y" + "}" * 12 + "$", "x^(" * 11 + "x^y" + ")" * 11),
+    ],
+)
+def test_nested_markup_is_undone_at_any_depth(raw, want):
+    assert clean(raw)[0] == want
+
+
 # ---- 3 titles
 
 
