@@ -50,22 +50,24 @@ def misra_gries(df: DataFrame, item: str, weight: str | None, k: int) -> DataFra
         if waiting or kept is not None:
             kept, cut = _reduce(pa.concat_tables([*([kept] if kept is not None else []), *waiting]), k)
             part = TaskContext.get().partitionId()
-            out = pa.table({"part": pa.array([part] * kept.num_rows, pa.int64()), "item": kept["item"].cast(pa.string()), "n": kept["n"].cast(pa.int64()), "err": pa.array([err + cut] * kept.num_rows, pa.int64())})
+            # the row without an item carries the error of a summary, also of one that lost all counters
+            rows = kept.num_rows + 1
+            out = pa.table({"part": pa.array([part] * rows, pa.int64()), "item": pa.array([None, *kept["item"].to_pylist()], pa.string()), "n": pa.array([0, *kept["n"].to_pylist()], pa.int64()), "err": pa.array([err + cut] * rows, pa.int64())})
             yield from out.to_batches()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        errs = int(pdf.groupby("from_part")["err"].first().sum())
-        kept, cut = _reduce(pa.table({"item": pa.array(pdf["item"]), "n": pa.array(pdf["n"])}), k)
-        return pd.DataFrame({"part": pdf["part"].iloc[0], "item": kept["item"].to_pandas(), "n": kept["n"].to_numpy(), "err": errs + cut})
+        errs, counted = int(pdf.loc[pdf["item"].isna(), "err"].sum()), pdf[pdf["item"].notna()]
+        kept, cut = _reduce(pa.table({"item": pa.array(counted["item"], pa.string()), "n": pa.array(counted["n"], pa.int64())}), k)
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "item": [None, *kept["item"].to_pylist()], "n": [0, *kept["n"].to_pylist()], "err": errs + cut})
 
     parts = rows.mapInArrow(summarise, _SCHEMA)
     n = max(1, rows.rdd.getNumPartitions())
     while True:
         n = -(-n // FAN_IN)
-        parts = parts.select(F.col("part").alias("from_part"), (F.col("part") % n).alias("part"), "item", "n", "err").groupBy("part").applyInPandas(merge, _SCHEMA)
+        parts = parts.withColumn("part", F.col("part") % n).groupBy("part").applyInPandas(merge, _SCHEMA)
         if n == 1:
             break
-    return parts.select("item", F.col("n").alias("low"), (F.col("n") + F.col("err")).alias("high"))
+    return parts.where("item IS NOT NULL").select("item", F.col("n").alias("low"), (F.col("n") + F.col("err")).alias("high"))
 
 
 def frequent_items(df: DataFrame, item: str, weight: str, percent: int, slack: int = 10) -> DataFrame:

@@ -146,6 +146,14 @@ def test_misra_gries_bounds(spark, data, k):
     assert {i for i, n in true.items() if n > total / (k + 1)} <= got.keys()
 
 
+def test_misra_gries_keeps_the_error_of_an_emptied_summary(spark):
+    data = [(i, 1) for i in "abcd"] + [("a", 5), *[(None, 1)] * 3]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(data, 2), "item string, n bigint")  # four rows in each
+    tied = df.where("n = 1")
+    assert [tuple(r) for r in misra_gries(df, "item", "n", 2).collect()] == [("a", 5, 6)]
+    assert misra_gries(tied, "item", "n", 2).count() == 0
+
+
 def test_frequent_items_are_exact(spark):
     random.seed(5)
     data = [(f"t{int(random.paretovariate(0.7)) % 5000}", random.choice([None, 0, 1, 3]), None) for _ in range(20_000)] + [(None, 500, None)]
