@@ -9,22 +9,34 @@ from inkwell.llm.block_knn import nearest, similar_pairs
 from inkwell.llm.borda import borda, latest_rows, score_ranks
 from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.heavy_hitters import frequent_items, misra_gries
-from inkwell.llm.markup import cleaned
+from inkwell.llm.markup import TAGS
 from inkwell.llm.mixing import mix_documents
 from inkwell.llm.mojibake import restored_texts
 from inkwell.llm.title_forms import article_index, disguised_titles
+from inkwell.llm.wrappers import learn_wrappers, tag_counts, wrapped_texts
 from inkwell.session import cut, table
 
 SCORES = ["pagerank", "pageviews", "backlinks"]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaned(table(spark, sf, "article").where("page_id IS NOT NULL"), "page_id", "text").where("marks > 0").select("page_id").distinct()
+    return wrapped_texts(table(spark, sf, "article").where("page_id IS NOT NULL"), "page_id", "text").where("marks > 0").select("page_id").distinct()
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Every article once for each text it has, cleaned, with the number of marks that were found."""
-    return cleaned(table(spark, sf, "article").select("page_id", "text").distinct(), "page_id", "text")
+    """Every article once for each text it has, cleaned, with its units that had markup and those that no wrapper fits."""
+    return wrapped_texts(table(spark, sf, "article").select("page_id", "text").distinct(), "page_id", "text")
+
+
+def p1_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    """The wrappers inferred from the articles: host, pattern, whether it is markup, streams aligned."""
+    found = learn_wrappers(table(spark, sf, "article"), "text")
+    return spark.createDataFrame([(h, w.pattern(), w.marked, w.streams) for h, w in found], "host string, wrapper string, marked boolean, streams int")
+
+
+def p1_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each tag stands in the articles' token streams."""
+    return tag_counts(table(spark, sf, "article"), "text")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,12 +106,16 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return restored_texts(table(spark, sf, "documents"), "doc_id", "text").where("damaged").select("doc_id", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_wrappers, p1_tags, p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
 
 _LATEST = "SELECT article_id, pagerank, pageviews, backlinks FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY embedding_timestamp DESC NULLS LAST, pagerank DESC NULLS LAST, pageviews DESC NULLS LAST, backlinks DESC NULLS LAST) AS i FROM articles WHERE article_id IS NOT NULL) WHERE i = 1"
 _POINTS = "CASE WHEN {s} IS NULL THEN 0 ELSE (m_{s} - (rank() OVER (PARTITION BY {s} IS NULL ORDER BY {s} DESC) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0) + 0.5) / m_{s} - 0.5 END"
 
 ORACLES = {
+    "p1_tags": f"""
+SELECT tag, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(lower(text), '</?(?:{"|".join(sorted(TAGS, key=len, reverse=True))})(?:\\s[^<>]*|/)?\\s*/?>')) AS t FROM article)
+CROSS JOIN LATERAL (SELECT regexp_extract(t, '^</?[a-z0-9]+') AS tag) GROUP BY tag""",
     "p5_found": "SELECT title FROM pageviews WHERE title IS NOT NULL GROUP BY title HAVING sum(coalesce(view_count, 0)) * 100 >= (SELECT sum(coalesce(view_count, 0)) FROM pageviews)",
     "p6_found": f"""
 WITH l AS ({_LATEST}),
