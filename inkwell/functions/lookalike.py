@@ -1,4 +1,4 @@
-"""One form for titles that look the same: compatibility form, case, blanks, invisible and look-alike characters."""
+"""One key for titles that look the same: compatibility form, case, blanks, invisible and look-alike characters."""
 
 from __future__ import annotations
 
@@ -16,11 +16,12 @@ from inkwell.functions.text import SPECIAL_PREFIXES_DRAFT
 # Letters of other scripts and the Latin letters they look like, as capitals and as small letters.
 GREEK_CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX", strict=True))
 GREEK_SMALL = dict(zip("αβεικνορυχγ", "abeikvopuxy", strict=True))
-CYRILLIC_CAPITALS = dict(zip("АВЕЅІЈКМНОРСТУХҺԀԚԜӀ", "ABESIJKMHOPCTYXHDQWI", strict=True))
-CYRILLIC_SMALL = dict(zip("авеѕіјкмнорстухһԁԛԝӏ", "abesijkmhopctyxhdqwi", strict=True))
+CYRILLIC_CAPITALS = dict(zip("АВЕЅІЈКМНОРСТУХҺԀԚԜӀҮѴ", "ABESIJKMHOPCTYXHDQWIYV", strict=True))
+CYRILLIC_SMALL = dict(zip("авеѕіјкмнорстухһԁԛԝӏүѵ", "abesijkmhopctyxhdqwiyv", strict=True))
 ARMENIAN_SMALL = dict(zip("օսոհցզյ", "ounhgqj", strict=True))
 ARMENIAN_CAPITALS = dict(zip("ՕՍԼ", "OUL", strict=True))
-LATIN_FORMS = dict(zip("ɑɡıᴀᴄᴇᴏᴠᴡᴢꜱ", "agiaceovwzs", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ", strict=True))
+LATIN_FORMS = dict(zip("ɑɡı", "agi", strict=True))
 HYPHENS = "\u2010\u2011\u2012\u2013\u2212\u2043\u02d7\ufe58"
 # Unicode's default-ignorable code points, first and last of each range.
 DEFAULT_IGNORABLE = (
@@ -28,9 +29,11 @@ DEFAULT_IGNORABLE = (
     (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 
+#: Small capitals look like the capitals they are named after: LATIN LETTER SMALL CAPITAL A.
+SMALL_CAPITALS = {chr(c): m[1].lower() for c in range(0x250, 0xAB70) if (m := re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(c), "")))}
 #: Small letters once case is gone; a Greek ζ, η, μ or τ looks like a Latin letter only as its capital does.
-SMALL = {**{k.lower(): v.lower() for k, v in GREEK_CAPITALS.items()}, **GREEK_SMALL, **{k.lower(): v.lower() for k, v in {**CYRILLIC_CAPITALS, **ARMENIAN_CAPITALS}.items()}, **CYRILLIC_SMALL, **ARMENIAN_SMALL, **LATIN_FORMS}
-CAPITALS = {**GREEK_CAPITALS, **CYRILLIC_CAPITALS, **ARMENIAN_CAPITALS}
+SMALL = {**{k.lower(): v.lower() for k, v in GREEK_CAPITALS.items()}, **GREEK_SMALL, **{k.lower(): v.lower() for k, v in {**CYRILLIC_CAPITALS, **ARMENIAN_CAPITALS}.items()}, **CYRILLIC_SMALL, **ARMENIAN_SMALL, **{k: v.lower() for k, v in CHEROKEE.items()}, **LATIN_FORMS, **SMALL_CAPITALS}
+CAPITALS = {**GREEK_CAPITALS, **CYRILLIC_CAPITALS, **ARMENIAN_CAPITALS, **CHEROKEE}
 
 _SMALL = str.maketrans(SMALL)
 _CAPITALS = str.maketrans(CAPITALS)
@@ -38,8 +41,13 @@ _HYPHENS = str.maketrans(dict.fromkeys(HYPHENS, "-"))
 _IGNORABLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in DEFAULT_IGNORABLE) + "]+")
 _GREEK_OWN = re.compile("[ΓΔΘΛΞΠΣΦΨΩδθλξπσςφψω]")
 _LATIN = re.compile("[A-Za-z]")
-_WORD = re.compile(r"[^\W_]+")
-_ASCII = re.compile(r"[\x00-\x7f]*\Z")
+#: Words with the accents that stand apart from their letters.
+_WORD = re.compile("(?:[^\\W_]|[\u0300-\u036f])+")
+_ANY_CAPITAL = re.compile(f"[{''.join(CAPITALS)}]")
+#: What keeps values apart while they are converted together.
+_APART = "\x00"
+_ROUND_APART = re.compile(rf"(?<!\s)\s*+{_APART}\s*+")
+_BLANK = re.compile(r"\s")
 
 
 def _word(m: re.Match) -> str:
@@ -48,24 +56,25 @@ def _word(m: re.Match) -> str:
     return w.translate(_CAPITALS) if _LATIN.search(w) and not _GREEK_OWN.search(w) else w
 
 
-def title_form(text: str) -> str:
-    """The consistent form: NFKC with full case folding, blanks as underscores, nothing invisible; accents stay."""
-    if _ASCII.match(text):
-        return "_".join(re.split(r"\s", text.strip().lower()))
-    t = _IGNORABLE.sub("", unicodedata.normalize("NFKC", text)).translate(_HYPHENS).strip()
-    return re.sub(r"\s", "_", _IGNORABLE.sub("", unicodedata.normalize("NFKC", t.casefold())))
-
-
-def look_key(text: str) -> str:
-    """Equal for two texts exactly if they look the same ignoring case: title_form with look-alike letters as Latin ones.
+def look_keys(texts: list[str]) -> list[str]:
+    """The consistent forms of texts: equal for two texts exactly if these look the same ignoring case.
 
+    Compatibility forms, full case folding, blanks as underscores, nothing invisible, look-alike letters as Latin ones.
     Letters are compared without their accents, which are put back: Cyrillic ё looks like ë, й like nothing Latin.
+    All texts are converted as one, so each step runs once for all of them.
     """
-    if _ASCII.match(text):
-        return title_form(text)
-    t = _IGNORABLE.sub("", unicodedata.normalize("NFKD", text)).translate(_HYPHENS).strip()
-    t = unicodedata.normalize("NFKD", _WORD.sub(_word, t).casefold()).translate(_SMALL)
-    return re.sub(r"\s", "_", unicodedata.normalize("NFC", t))
+    if not texts:
+        return []
+    t = _IGNORABLE.sub("", unicodedata.normalize("NFKD", _APART.join(x.replace(_APART, "") for x in texts))).translate(_HYPHENS)
+    t = _ROUND_APART.sub(_APART, t.strip())
+    if _ANY_CAPITAL.search(t):
+        t = _WORD.sub(_word, t)
+    t = unicodedata.normalize("NFKD", t.casefold()).translate(_SMALL)
+    return _BLANK.sub("_", unicodedata.normalize("NFC", t)).split(_APART)
+
+
+def look_key(text: str) -> str:
+    return look_keys([text])[0]
 
 
 def link_target(raw: str) -> tuple[str | None, str | None]:
@@ -86,19 +95,22 @@ def stored_title(raw: str) -> tuple[str, str]:
 
 
 KINDS = {"link": link_target, "view": view_title, "title": stored_title}
-_OUT = StructType([StructField("norm", StringType()), StructField("form", StringType()), StructField("key", StringType())])
+_OUT = StructType([StructField("norm", StringType()), StructField("key", StringType())])
 
 
-def _udf(kind: str):  # noqa: ANN202
-    one = KINDS[kind]
+def _forms(values: list[str], kind: str) -> list[tuple[str | None, str | None]]:
+    """norm and key of values, in order; nulls for dropped link targets."""
+    cut = [KINDS[kind](v) for v in values]
+    keys = iter(look_keys([raw for raw, _ in cut if raw is not None]))
+    return [(None, None) if raw is None else (norm, next(keys)) for raw, norm in cut]
+
 
+def _udf(kind: str):  # noqa: ANN202
     @F.pandas_udf(_OUT)
     def forms(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in values:
-            raw, norm = one(v)
-            rows.append((None, None, None) if raw is None else (norm, title_form(raw), look_key(raw)))
-        return pd.DataFrame(rows, columns=["norm", "form", "key"])
+        # a batch converts each of its distinct values once
+        codes, distinct = pd.factorize(values)
+        return pd.DataFrame([*_forms(list(distinct), kind), (None, None)], columns=["norm", "key"]).iloc[codes].reset_index(drop=True)
 
     return forms
 
@@ -109,7 +121,7 @@ def plain(value: Column) -> Column:
 
 
 def _plain_forms(v: Column, kind: str) -> tuple[Column, Column]:
-    """norm and form (which is the key, too) of plain values."""
+    """norm and key of plain values."""
     if kind == "link":
         norm = F.translate(F.lower(F.trim(F.substring_index(F.trim(v), "#", 1))), " ", "_")
         kept = F.when(~((norm == "") | norm.rlike("^(" + "|".join(SPECIAL_PREFIXES_DRAFT) + ")")), norm)
@@ -118,32 +130,26 @@ def _plain_forms(v: Column, kind: str) -> tuple[Column, Column]:
     return norm, F.translate(F.lower(F.trim(v)), " ", "_")
 
 
-def distinct_forms(df: DataFrame, column: str, kind: str) -> DataFrame:
-    """value, norm, form and key of every distinct non-null value; dropped link targets have nulls.
+def distinct_keys(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """value, norm and key of every distinct non-null value; dropped link targets have nulls.
 
     Plain ASCII values are done in the JVM. Only the other ones go through Python, each distinct value once.
     kind: link (C5 and C6's twelve prefixes), view (C10's decoding) or title (as stored).
     """
     v = F.col("value")
     values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    norm, form = _plain_forms(v, kind)
-    ascii_ = values.where(plain(v)).select("value", norm.alias("norm"), form.alias("form"), form.alias("key"))
-    return ascii_.unionByName(_other_forms(values.where(~plain(v)), kind))
-
-
-def _other_forms(values: DataFrame, kind: str) -> DataFrame:
-    return values.withColumn("f", _udf(kind)(F.col("value"))).select("value", "f.*")
+    norm, key = _plain_forms(v, kind)
+    other = values.where(~plain(v)).withColumn("f", _udf(kind)(v)).select("value", "f.*")
+    return values.where(plain(v)).select("value", norm.alias("norm"), key.alias("key")).unionByName(other)
 
 
 def with_key(df: DataFrame, column: str, kind: str, into: str = "key") -> DataFrame:
     """df with the look key of a column, null for null values and dropped link targets.
 
-    Rows with a plain value get it where they are. The other rows meet the keys of their distinct values in a join; a
-    hot value there is one row of the keys' side, which is broadcast while it is small.
+    Every row gets its key where it is, plain values in the JVM and others in Arrow batches, which convert each of their
+    distinct values once: nothing is shuffled, so a value of a third of all rows costs nothing more.
     """
     v = F.col(column)
     is_plain = F.coalesce(plain(v), F.lit(True))
     here = df.where(is_plain).withColumn(into, _plain_forms(v, kind)[1])
-    rest = df.where(~is_plain)
-    keys = _other_forms(rest.select(v.alias("value")).distinct(), kind).select(F.col("value").alias("__value"), F.col("key").alias(into))
-    return here.unionByName(rest.join(keys, rest[column] == F.col("__value"), "left").drop("__value"))
+    return here.unionByName(df.where(~is_plain).withColumn(into, _udf(kind)(v)["key"]))

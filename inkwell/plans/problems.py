@@ -11,9 +11,11 @@ from inkwell.functions.lookalike import with_key
 from inkwell.functions.times import micros, month
 from inkwell.operators.orphans import ALWAYS, track
 from inkwell.operators.skew import frequent_keys, key_quantiles
-from inkwell.session import cut, table
+from inkwell.session import table
 
 PERCENTS = [50, 95]
+#: An instant after all references (epoch microseconds, year 2100).
+LATER = 4_102_444_800_000_000
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +50,7 @@ def p2_title_totals(spark: SparkSession, sf: str) -> DataFrame:
 def orphan_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """References and parents of links, pagelinks and articles, in the tracker's columns."""
     articles, links, pages = (table(spark, sf, t) for t in ("articles", "links", "page_tbl"))
-    titled = cut(with_key(articles.select("article_id", "lookup_title", "embedding_timestamp").where("lookup_title IS NOT NULL"), "lookup_title", "title"), "titled")
+    titled = with_key(articles.select("article_id", "lookup_title", "embedding_timestamp").where("lookup_title IS NOT NULL"), "lookup_title", "title")
     # seconds to microseconds; a row without a time can't be later than a reference
     since = F.coalesce(F.col("embedding_timestamp") * 1_000_000, F.lit(ALWAYS))
     seen = micros(F.col("seen_at"))
@@ -74,17 +76,36 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ref_table", "source_id", "target", period, "reason").distinct()
 
 
-def p4_pagelinks(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of p4_found for pagelinks alone, whose keys plain SQL can compare."""
+def _pagelinks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """References and parents of pagelinks alone, whose keys plain SQL can compare."""
     links, articles = table(spark, sf, "pagelinks"), table(spark, sf, "articles")
     target = F.col("target_id").cast("string")
     refs = links.where("target_id is not null").select(F.lit("pagelinks").alias("ref_table"), target.alias("key"), "source_id", target.alias("target"), micros(F.col("seen_at")).alias("at"))
     parents = articles.where("article_id is not null").select(F.lit("pagelinks").alias("ref_table"), F.col("article_id").cast("string").alias("key"), F.coalesce(F.col("embedding_timestamp") * 1_000_000, F.lit(ALWAYS)).alias("since"))
-    late, absent = track(refs, parents)
+    return refs, parents
+
+
+def p4_pagelinks(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of p4_found for pagelinks alone."""
+    late, absent = track(*_pagelinks(spark, sf))
     out = late.withColumn("reason", F.lit("late")).unionByName(absent.withColumn("reason", F.lit("absent")))
     return out.select("source_id", "target", month(F.col("at")).alias("period"), "reason").distinct()
 
 
+def p4_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """p4_waiting for pagelinks alone: what waited at the end of each month's batch."""
+    return _waiting(*_pagelinks(spark, sf))
+
+
+def p4_reopened(spark: SparkSession, sf: str) -> DataFrame:
+    """Waiting pagelinks by month, once the articles that page_tbl doesn't have are deleted after all links."""
+    refs, parents = _pagelinks(spark, sf)
+    there = table(spark, sf, "page_tbl").where("page_id IS NOT NULL").select(F.col("page_id").cast("string").alias("key")).distinct()
+    gone = parents.select("ref_table", "key").distinct().join(there, "key", "left_anti").withColumn("at", F.lit(LATER))
+    _, absent = track(refs, parents, months=6, deletions=gone)
+    return absent.groupBy(month(F.col("at")).alias("period")).agg(F.count(F.lit(1)).alias("pending"))
+
+
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Orphan references (distinct as in p4_found) by table, period and reason."""
     return p4_found(spark, sf).groupBy("ref_table", "period", "reason").agg(F.count(F.lit(1)).alias("orphans"))
@@ -95,13 +116,17 @@ def p4_waiting(spark: SparkSession, sf: str) -> DataFrame:
 
     Rows as they come, not distinct ones as in p4_found. A month in which nothing waited has no rows.
     """
+    return _waiting(*orphan_inputs(spark, sf))
+
+
+def _waiting(refs: DataFrame, parents: DataFrame) -> DataFrame:
     snapshots: list[DataFrame] = []
-    _, absent = track(*orphan_inputs(spark, sf), snapshots=snapshots)
-    none = absent.select(F.lit("").alias("batch"), "ref_table", F.lit("").alias("period"), F.lit(0).cast("bigint").alias("pending")).limit(0)
-    return cut(reduce(DataFrame.unionByName, snapshots, none), "waiting")
+    track(refs, parents, snapshots=snapshots)
+    none = refs.select(F.lit("").alias("batch"), "ref_table", F.lit("").alias("period"), F.lit(0).cast("bigint").alias("pending")).limit(0)
+    return reduce(DataFrame.unionByName, snapshots, none)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_inlinks, p2_title_counts, p2_title_totals, p4_found, p4_pagelinks, p4_report, p4_waiting)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_inlinks, p2_title_counts, p2_title_totals, p4_found, p4_pagelinks, p4_snapshot, p4_reopened, p4_report, p4_waiting)}
 
 _QUANTILES = """
 WITH d AS ({rows}), r AS (
@@ -111,7 +136,20 @@ s AS (SELECT k, count(*) AS n_rows, count(v) AS n_values FROM d GROUP BY k)
 SELECT s.k AS {key}, n_rows, n_values, CAST(p50 AS DOUBLE) AS p50, CAST(p95 AS DOUBLE) AS p95 FROM s LEFT JOIN q ON s.k = q.k
 """
 
+_SINCE = "SELECT article_id, min(coalesce(embedding_timestamp, -1000000000000)) AS since FROM articles WHERE article_id IS NOT NULL GROUP BY article_id"
+
 ORACLES = {
+    "p4_snapshot": f"""
+WITH a AS ({_SINCE}),
+r AS (SELECT strftime(seen_at, '%Y-%m') AS period, CASE WHEN article_id IS NULL THEN '9999-12' WHEN since < 0 THEN '0000-01' ELSE strftime(make_timestamp(since * 1000000), '%Y-%m') END AS came
+  FROM pagelinks LEFT JOIN a ON target_id = article_id WHERE target_id IS NOT NULL),
+b AS (SELECT DISTINCT period AS batch FROM r WHERE period IS NOT NULL),
+-- an arrival after the last month comes with the last batch
+w AS (SELECT period, CASE WHEN came = '9999-12' THEN came ELSE least(came, (SELECT max(batch) FROM b)) END AS came, count(*) AS n FROM r GROUP BY ALL)
+SELECT batch, 'pagelinks' AS ref_table, period, CAST(sum(n) AS BIGINT) AS pending FROM b JOIN w ON coalesce(period, (SELECT max(batch) FROM b)) <= batch AND batch < came GROUP BY batch, period""",
+    "p4_reopened": """
+SELECT strftime(seen_at, '%Y-%m') AS period, count(*) AS pending FROM pagelinks
+WHERE target_id IS NOT NULL AND NOT (EXISTS (SELECT 1 FROM articles WHERE article_id = target_id) AND EXISTS (SELECT 1 FROM page_tbl WHERE page_id = target_id)) GROUP BY period""",
     "p2_found": """
 SELECT 'pagelinks.target_id' AS field, CAST(target_id AS VARCHAR) AS key FROM pagelinks WHERE target_id IS NOT NULL
 GROUP BY target_id HAVING count(*) * 50 >= (SELECT count(*) FROM pagelinks)
