@@ -55,3 +55,13 @@ def change_kind(new: Column, old: Column, lower_is_better: bool = False, band: f
     d = change(new, old, band)
     good = d < 0 if lower_is_better else d > 0
     return F.when(old.isNull() | new.isNull(), "none").when(d == 0, "same").when(good, "better").otherwise("worse")
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """A / b, 0 where b isn't above 0; null if either is."""
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b > 0, a / b).otherwise(0.0)
+
+
+def parse_int(c: Column) -> Column:
+    """A whole number, null where the text isn't one."""
+    return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("bigint"))

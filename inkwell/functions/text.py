@@ -136,3 +136,13 @@ def format_bytes(n: Column) -> Column:
 def bar(share: Column, width: int = 20) -> Column:
     """F18."""
     return F.repeat(F.lit("█"), F.floor(share * width).cast("int"))
+
+
+def thousands(n: Column) -> Column:
+    """a whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def json_set(c: Column) -> Column:
+    """An aggregate: the distinct non-null values of a group as a sorted JSON list."""
+    return F.to_json(F.array_sort(F.collect_set(c)))

@@ -133,3 +133,36 @@ def inlinks(tuples: DataFrame, pages: DataFrame, page_id: int) -> DataFrame:
     """The tuples that lead to a page, with the title of their source where the page table has it."""
     rows = tuples.where(F.col("pl_target_id") == page_id).select(F.col("pl_from").alias("page_id"), F.col("pl_from_namespace").alias("namespace"))
     return rows.join(pages.groupBy("page_id").agg(F.min("page_title").alias("title")), "page_id", "left")
+
+
+def inlink_counts(links: DataFrame) -> DataFrame:
+    """Rows of inlinks() by namespace of their source, and how many of them have a title."""
+    return links.groupBy("namespace").agg(F.count(F.lit(1)).alias("links"), F.count("title").alias("named"))
+
+
+def find_path(edges: DataFrame, start: int, target: int, hops: int = 3) -> DataFrame:
+    """One row success, hops, path: a shortest path (ids) from start to target, if one is within some hops.
+
+    Of several the one with the least ids, looked at from the target backwards. A start that is the target is 0 hops
+    away; where nothing leads there, success is false, hops and path are null. Each hop keeps one parent for each id it
+    reaches, so the path is walked back along at most `hops` rows.
+    """
+    spark = edges.sparkSession
+    level = cut(spark.createDataFrame([(start, None, 0)], "id bigint, parent bigint, hop int"), "path")
+    levels, seen = [level], level
+    for hop in range(1, hops + 1):
+        if seen.where(F.col("id") == target).limit(1).count():
+            break
+        side = level.select(F.col("id").alias("source_id"))
+        side = F.broadcast(side) if level.count() <= BROADCAST_ROWS else side
+        step = edges.join(side, "source_id").where("target_id IS NOT NULL").groupBy(F.col("target_id").alias("id")).agg(F.min("source_id").alias("parent"))
+        level = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)), "path")
+        levels.append(level)
+        seen = seen.unionByName(level)
+    path = []
+    at = next((i for i, x in enumerate(levels) if x.where(F.col("id") == target).limit(1).count()), None)
+    if at is not None:
+        path = [target]
+        for x in reversed(levels[1 : at + 1]):
+            path.insert(0, x.where(F.col("id") == path[0]).first()["parent"])
+    return spark.createDataFrame([(at is not None, at, path or None)], "success boolean, hops int, path array<bigint>")

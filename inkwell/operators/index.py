@@ -31,6 +31,8 @@ RECALL = 0.92
 RECALL_QUERIES, RECALL_K = 500, 10
 #: Fewest lists probed and smallest pool, as in the reference.
 PROBES, POOL = 32, 200
+#: Rows of the fit whose distances to all centres are in memory at once.
+KMEANS_STRIP = 4_096
 #: Candidates that a task of a search holds before it drops those beyond the pool.
 HELD = 2_000_000
 
@@ -106,14 +108,16 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarra
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        d = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
-        at = d.argmin(1)
+        at, far = np.empty(len(x), np.int64), np.empty(len(x))
+        for i in range(0, len(x), KMEANS_STRIP):
+            d = (centres**2).sum(1)[None, :] - 2 * x[i : i + KMEANS_STRIP] @ centres.T
+            at[i : i + KMEANS_STRIP], far[i : i + KMEANS_STRIP] = d.argmin(1), d.min(1)
         sums = np.zeros_like(centres)
         np.add.at(sums, at, x)
         n = np.bincount(at, minlength=k)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         if (n == 0).any():
-            centres[n == 0] = x[np.argsort(-d.min(1))[: (n == 0).sum()]]
+            centres[n == 0] = x[np.argsort(-far)[: (n == 0).sum()]]
     return centres
 
 

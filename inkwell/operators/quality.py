@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.scoring import change, change_kind, percent
-from inkwell.operators.order import with_positions
+from inkwell.functions.scoring import change, change_kind, percent, ratio
+from inkwell.operators.order import cumulated, with_positions
+from inkwell.session import cut
 
 
 def coverage(df: DataFrame, signals: list[str]) -> DataFrame:
@@ -59,18 +60,24 @@ def top_groups(df: DataFrame, key: str, n: int) -> DataFrame:
 def nearest_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     """p50, p95, p99 as the sorted values' elements at int(n * p), with extremes and rate, by group.
 
-    Ranks come from counts of distinct values, not from collected groups.
+    Ranks come from counts of distinct values in ranges; no task sees the values of a whole group.
     """
     per = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    run = per.withColumns({"upto": F.sum("c").over(Window.partitionBy(group).orderBy(value)), "n": F.sum("c").over(Window.partitionBy(group))})
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(p)), F.col(value)))
-    return run.groupBy(group).agg(F.first("n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    run = cumulated(per, [group], [F.asc(value)], "c")
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("total") * F.lit(p)), F.col(value)))
+    return run.groupBy(group).agg(F.max("total").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def linear_percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean and interpolated percentiles by group."""
-    p = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), p.alias("p")).select(group, "mean", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    """Mean and interpolated percentiles by group, from counts of distinct values in ranges; groups without a
+    value have nulls."""
+    percents = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    per = df.groupBy(group, value).agg(F.count(value).alias("c"))
+    run = cumulated(per, [group], [F.asc_nulls_first(value)], "c")
+    place = {n: (F.col("total") - 1) * F.lit(p) for n, p in percents.items()}
+    ends = [F.min(F.when(F.col("upto") > (F.floor(x) if low else F.ceil(x)), F.col(value))).alias(f"{n}_{'lo' if low else 'hi'}") for n, x in place.items() for low in (True, False)]
+    found = run.groupBy(group).agg(F.max("total").alias("total"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 6).alias("mean"), *ends)
+    return found.select(group, "mean", *[F.round(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (x - F.floor(x)), 6).alias(n) for n, x in place.items()])
 
 
 def throughput(df: DataFrame, group: str, ms: str, ok: str | None = None) -> DataFrame:
@@ -82,12 +89,19 @@ def throughput(df: DataFrame, group: str, ms: str, ok: str | None = None) -> Dat
 
 def halves(df: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
     """Mean of the first and the second half of each group in an order."""
-    w = Window.partitionBy(group)
-    rows = df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(w)})
-    early = F.col("__i") < F.floor(F.col("__n") / 2)
+    rows = cumulated(df, [group], order)
+    early = F.col("upto") <= F.floor(F.col("total") / 2)
     return rows.groupBy(group).agg(F.round(F.avg(F.when(early, F.col(value))), 6).alias("first_half"), F.round(F.avg(F.when(~early, F.col(value))), 6).alias("second_half"))
 
 
+def cache_effect(df: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
+    """The first value of each group in an order, the mean of the later ones, and first / later; null without
+    later ones, 0 where these are 0."""
+    first = F.col("upto") == 1
+    out = cumulated(df, [group], order).groupBy(group).agg(F.max(F.when(first, F.col(value))).alias("a"), F.avg(F.when(~first, F.col(value))).alias("b"))
+    return out.select(group, F.round("a", 6).alias("first"), F.round("b", 6).alias("later"), F.round(ratio(F.col("a"), F.col("b")), 6).alias("speedup"))
+
+
 def category_status(df: DataFrame, category: str, passed: str, recall: str | None = None, least: float = 70.0) -> DataFrame:
     """Tests, passes, rate, mean recall and PASS from `least` percent on."""
     extra = [F.round(F.avg(recall), 6).alias("mean_recall")] if recall else []
@@ -102,9 +116,20 @@ def histogram(df: DataFrame, score: str, width: int = 10) -> DataFrame:
 
 
 def gaps(df: DataFrame, group: str, score: str, key: str) -> DataFrame:
-    """Rank and the gap to the next lower score within a group."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), key)
-    return df.select(group, key, score, F.row_number().over(w).alias("rank"), F.round(F.col(score) - F.lead(score).over(w), 6).alias("gap"))
+    """Rank and the gap to the next lower score within a group.
+
+    Neighbours meet by their rank, so no task sees a whole group.
+    """
+    rows = cut(cumulated(df.select(group, key, score), [group], [F.desc(score), F.asc(key)]).withColumn("rank", F.col("upto").cast("int")).drop("upto", "total"), "ranks")
+    after = rows.select(F.col(group).alias("__g"), (F.col("rank") - 1).alias("__r"), F.col(score).alias("__next"))
+    near = rows.join(after, F.col(group).eqNullSafe(F.col("__g")) & (F.col("rank") == F.col("__r")), "left")
+    return near.select(group, key, score, "rank", F.round(F.col(score) - F.col("__next"), 6).alias("gap"))
+
+
+def score_stats(df: DataFrame, group: str, score: str) -> DataFrame:
+    """Count, extremes, mean and range of scores by group."""
+    row = df.groupBy(group).agg(F.count(score).alias("n"), F.min(score).alias("least"), F.max(score).alias("most"), F.round(F.avg(score), 6).alias("mean"))
+    return row.withColumn("range", F.round(F.col("most") - F.col("least"), 6))
 
 
 def position_variance(df: DataFrame, position: str, value: str) -> DataFrame:
@@ -196,3 +221,42 @@ def query_type_benchmarks(df: DataFrame, name: str = "name", fallback: int = 4)
     """The benchmarks by query type, or the first few by name if there are none."""
     kinds = df.where(F.col(name).contains("Query Type"))
     return kinds if kinds.limit(1).count() else df.orderBy(name).limit(fallback)
+
+
+def run_summary(results: DataFrame, success: str, recall: str) -> DataFrame:
+    """One row with the totals of a run and its verdict: working above 5 passes, partial above 2."""
+    row = results.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(success)).alias("passed"), F.count_if(~F.coalesce(F.col(success), F.lit(False))).alias("failed"), F.round(F.avg(recall), 6).alias("recall"))
+    return row.withColumn("verdict", F.when(F.col("passed") > 5, "working").when(F.col("passed") > 2, "partial").otherwise("failing"))
+
+
+def analogies(neighbours: DataFrame, tuples: DataFrame) -> DataFrame:
+    """Of every tuple (c, d) whether d is among the neighbours (c, d) of c; as in the reference, a and b don't count."""
+    near = neighbours.select("c", "d").distinct().withColumn("__hit", F.lit(True))
+    return tuples.join(near, ["c", "d"], "left").select("c", "d", F.coalesce("__hit", F.lit(False)).alias("success"))
+
+
+def validate_signals(df: DataFrame, signals: list[str], key: str, least: float = 50.0) -> DataFrame:
+    """Name, value, passed of the checks of an enriched table, in one pass: it has rows, no key twice, and each
+    signal is above 0 in at least `least` percent of them."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys"), *[F.count_if(F.col(s) > 0).alias(s) for s in signals])
+    checks = [("rows", F.col("n").cast("double"), F.col("n") > 0), ("duplicates", (F.col("n") - F.col("keys")).cast("double"), F.col("n") == F.col("keys"))]
+    checks += [(s, F.round(percent(F.col(s), F.col("n")), 6).cast("double"), percent(F.col(s), F.col("n")) >= least) for s in signals]
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value"), p.alias("passed")) for n, v, p in checks])).alias("x")).select("x.*")
+
+
+def top_overlap(df: DataFrame, key: str, a: str, b: str, n: int) -> DataFrame:
+    """How many of the n rows greatest in a are among the n greatest in b, ties by the key, with a verdict."""
+    first, second = (df.orderBy(F.desc_nulls_last(c), key).limit(n).select(key) for c in (a, b))
+    row = first.join(second, key).agg(F.count(F.lit(1)).alias("shared")).withColumn("share", F.round(F.col("shared") * 100.0 / n, 6))
+    return row.withColumn("verdict", F.when(F.col("share") >= 50, "length tells importance").otherwise("length is no importance"))
+
+
+def exists_in(sample: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """One row asked, found: the rows of a sample, and those whose key stands in another table."""
+    marked = sample.select(key).join(there.select(key).distinct().withColumn("__there", F.lit(1)), key, "left")
+    return marked.agg(F.count(F.lit(1)).alias("asked"), F.count("__there").alias("found"))
+
+
+def peek(df: DataFrame, n: int) -> DataFrame:
+    """Any n rows, whichever come first."""
+    return df.limit(n)

@@ -14,7 +14,7 @@ from inkwell.operators import graph as G
 from inkwell.operators import index as V
 from inkwell.operators import quality as Q
 from inkwell.operators.ranking import Service
-from inkwell.session import table
+from inkwell.session import cut, table
 from inkwell.sources.wiki import count_views
 
 Frame = DataFrame
@@ -81,16 +81,17 @@ def domain_connectivity(spark: SparkSession, sf: str) -> Frame:
 
 
 def ivf_pq_search(spark: SparkSession, sf: str) -> Frame:
-    index = _flat(spark, sf).cache()
+    index = cut(_flat(spark, sf), "flat")
     built = V.IvfPq.train(index, parts=16).add(index)
     return built.search(_queries(index), 10).select("query", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def ivf_pq_recall(spark: SparkSession, sf: str) -> Frame:
-    """Mean recall of the index against the exact search, over the same queries."""
-    index = _flat(spark, sf).cache()
-    found = V.IvfPq.train(index, parts=16).add(index).search(_queries(index), 10)
-    return V.recall(found, V.search_exact(index, _queries(index), 10)).select((F.col("recall") >= 0.9).alias("enough"))
+    """Whether the mean recall of the index against the exact search is 0.9 or more, and how many hits the queries got."""
+    index = cut(_flat(spark, sf), "flat")
+    found = cut(V.IvfPq.train(index, parts=16).add(index).search(_queries(index), 10), "found")
+    hits = found.agg(F.count_distinct("query").alias("queries"), F.count(F.lit(1)).alias("hits"))
+    return V.recall(found, V.search_exact(index, _queries(index), 10)).crossJoin(F.broadcast(hits)).select((F.col("recall") >= 0.9).alias("enough"), "queries", "hits")
 
 
 def l2_norms(spark: SparkSession, sf: str) -> Frame:
@@ -408,6 +409,7 @@ SELECT a.id AS source, b.id AS target, round(list_dot_product(a.v, b.v) / (a.n *
     "knn_label_recall": f"{_KNN} SELECT mine AS label, count(*) AS neighbours, round(avg(CASE WHEN mine = label THEN 1.0 ELSE 0.0 END), 6) AS recall FROM k WHERE rank <= 10 GROUP BY mine",
     "domain_connectivity": f"""{_KNN}, f AS (SELECT mine AS label, count(*) AS found FROM k WHERE rank <= 10 AND mine = label GROUP BY 1), m AS (SELECT label, count(DISTINCT vec_id) AS n FROM embeddings GROUP BY 1)
 SELECT m.label, n, coalesce(found, 0) AS found, round(CASE WHEN n > 1 THEN coalesce(found, 0) / (n * (n - 1)) ELSE 0 END, 6) AS connectivity FROM m LEFT JOIN f ON m.label = f.label""",
+    "ivf_pq_recall": "SELECT TRUE AS enough, count(*) AS queries, count(*) * 10 AS hits FROM embeddings WHERE vec_id % 50 = 0",
     "l2_norms": f"SELECT id AS vec_id, round(v[1] / n, 6) AS first, round(list_dot_product(list_transform(v, lambda x: x / n), list_transform(v, lambda x: x / n)), 6) AS length FROM ({_U})",
     "health": f"SELECT count(*) AS articles, {', '.join(f'count(*) FILTER ({s} > 0) AS with_{s}, round(count(*) FILTER ({s} > 0) * 100.0 / count(*), 6) AS {s}_coverage' for s in ('pagerank', 'pageviews', 'backlinks'))} FROM ({_L})",
     "backlinks_by_title": f"SELECT article_id, coalesce(n, 0) AS backlinks FROM ({_L}) a LEFT JOIN (SELECT target, count(*) AS n FROM ({_RAW}) GROUP BY 1) c ON a.lookup_title = c.target",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,9 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where the session names none (tests)."""
+    """Folder that all executors share: spark.checkpoint.dir, or one of our own where a local session names none (tests).
+
+    A cluster must name one: what an executor writes to its own disk no other can read, so RuntimeError is raised.
+    """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not base:
@@ -68,7 +72,3 @@ def drop_cut(df: DataFrame | None) -> None:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def list_files(folder: str) -> list[str]:
-    return sorted(os.path.join(folder, x) for x in os.listdir(folder))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import calendar
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,18 +95,40 @@ def next_version(current: str | None) -> str:
     return f"v{parts[0]}.{parts[1]}.{int(parts[2]) + 1}"
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """K8: drop the table at a path, if there is one, and write it anew."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def snapshot_names(spark: SparkSession, folder: str, prefix: str = "checkpoint_") -> list[str]:
+    """Names of the snapshots in a folder of any file system that Spark knows, in order; none if it isn't there."""
+    fs, p = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith(prefix)) if fs.exists(p) else []
+
+
 def newest_snapshot(folder: str, prefix: str = "checkpoint_") -> str | None:
     """The last snapshot by name."""
-    names = sorted(n for n in os.listdir(folder) if n.startswith(prefix)) if os.path.isdir(folder) else []
-    return os.path.join(folder, names[-1]) if names else None
+    names = snapshot_names(SparkSession.getActiveSession(), folder, prefix)
+    return f"{folder.rstrip('/')}/{names[-1]}" if names else None
+
+
+def snapshot_number(path: str) -> int:
+    """How far a snapshot got, by its name, where no statistics were written beside it."""
+    return int(path.rstrip("/").rsplit("_", 1)[1])
 
 
 def save_snapshot(df: DataFrame, folder: str, n: int, keep: int = 3) -> str:
     """A Parquet snapshot, of which the last `keep` stay (a folder all executors share)."""
-    import shutil
-
-    path = os.path.join(folder, f"checkpoint_{n:09d}")
+    spark = df.sparkSession
+    path = f"{folder.rstrip('/')}/checkpoint_{n:09d}"
     df.write.mode("overwrite").parquet(path)
-    for old in sorted(x for x in os.listdir(folder) if x.startswith("checkpoint_"))[:-keep]:
-        shutil.rmtree(os.path.join(folder, old))
+    for old in snapshot_names(spark, folder)[:-keep]:
+        fs, p = _file_system(spark, f"{folder.rstrip('/')}/{old}")
+        fs.delete(p, True)
     return path
