@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.order import with_positions
+from inkwell.operators.order import cumulated, with_positions
 from inkwell.operators.skew import salted_join
 from inkwell.session import cut
 
-BINS = 64
-
 
 def latest_rows(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """key and columns of each key's row with the greatest `order`; among equals the greatest values; null keys dropped."""
@@ -23,27 +19,15 @@ def score_ranks(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
     """key, score, greater, ties, present for every present score of every key (keys are unique).
 
     greater: keys with a strictly greater score; ties: keys with the same one, itself included; present: keys having
-    the score. NaN counts as missing. Ranks are counted over distinct values in value ranges (bounds from approximate
-    quantiles, results exact), so neither a value of a third of all rows nor the whole column comes into one task.
+    the score. NaN counts as missing. Ranks are counted over distinct values, sorted into as many value ranges as their
+    number asks for: a value of a third of all rows is one of them, and no task has a whole column.
     """
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value")) for s in scores])).alias("x")).select(key, "x.*")
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = cut(long.groupBy("score", "value").agg(F.count(F.lit(1)).alias("ties")), "counts")
-    grid = [i / BINS for i in range(BINS + 1)]
-    edges = {r[0]: sorted(set(r[1])) for r in counts.groupBy("score").agg(F.percentile_approx("value", grid, 1000)).collect()}
-    totals = {r[0]: r[1] for r in counts.groupBy("score").agg(F.sum("ties")).collect()}
-    if not totals:
-        return long.select(key, "score", F.lit(0).cast("bigint").alias("greater"), F.lit(0).cast("bigint").alias("ties"), F.lit(0).cast("bigint").alias("present")).limit(0)
-    bin_ = reduce(lambda c, s: c.when(F.col("score") == s, F.size(F.filter(F.lit(edges[s]).cast("array<double>"), lambda e: e < F.col("value")))), edges, F.when(F.lit(False), 0))
-    binned = counts.withColumn("bin", bin_)
-    above, so_far = [], {}
-    for score, b, n in sorted(binned.groupBy("score", "bin").agg(F.sum("ties")).collect(), key=lambda r: (r[0], -r[1])):
-        above.append((score, b, so_far.get(score, 0), totals[score]))
-        so_far[score] = so_far.get(score, 0) + n
-    offsets = df.sparkSession.createDataFrame(above, "score string, bin int, above bigint, present bigint")
-    w = Window.partitionBy("score", "bin").orderBy(F.desc("value"))
-    ranked = binned.join(F.broadcast(offsets), ["score", "bin"]).select("score", "value", (F.col("above") + F.sum("ties").over(w) - F.col("ties")).alias("greater"), "ties", "present")
-    hot = counts.where(F.col("ties") > 0.001 * sum(totals.values())).select("score", "value")
+    ranked = cumulated(counts, ["score"], [F.desc("value")], "ties").select("score", "value", (F.col("upto") - F.col("ties")).alias("greater"), "ties", F.col("total").alias("present"))
+    long_rows = counts.agg(F.sum("ties")).first()[0] or 0
+    hot = counts.where(F.col("ties") > 0.001 * long_rows).select("score", "value")
     return salted_join(long, ranked, ["score", "value"], hot, "inner").select(key, "score", "greater", "ties", "present")
 
 

@@ -10,7 +10,7 @@ from inkwell.llm.borda import borda, latest_rows, score_ranks
 from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.heavy_hitters import frequent_items, misra_gries
 from inkwell.llm.markup import TAGS
-from inkwell.llm.mixing import mix_documents
+from inkwell.llm.mixing import mix_documents, mix_plan
 from inkwell.llm.mojibake import restored_texts
 from inkwell.llm.title_forms import article_index, disguised_titles
 from inkwell.llm.wrappers import learn_wrappers, tag_counts, wrapped_texts
@@ -64,14 +64,14 @@ def p5_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = latest_rows(table(spark, sf, "articles"), "article_id", "embedding_timestamp", SCORES)
+    rows = cut(latest_rows(table(spark, sf, "articles"), "article_id", "embedding_timestamp", SCORES), "latest")
     ranks = score_ranks(rows.fillna(0, SCORES), "article_id", SCORES)
     worst = ranks.groupBy("article_id").agg(F.max(F.col("greater") * 100 - 3 * F.col("present")).alias("worst"))
     return worst.where("worst < 0").select("article_id")
 
 
 def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    rows = latest_rows(table(spark, sf, "articles"), "article_id", "embedding_timestamp", SCORES)
+    rows = cut(latest_rows(table(spark, sf, "articles"), "article_id", "embedding_timestamp", SCORES), "latest")
     return borda(rows, "article_id", dict.fromkeys(SCORES, 1.0))
 
 
@@ -81,7 +81,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest(table(spark, sf, "vectors"), "article_id", "vector", 10).select(F.col("id").alias("article_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 4).alias("cosine"))
+    return nearest(table(spark, sf, "vectors"), "article_id", "vector", 10).select(F.col("id").alias("article_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,6 +97,18 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1].withColumnsRenamed({"size": "tokens", "mix_size": "mix_tokens"})
 
 
+def p9_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole copies and the size drawn besides, of each source in a mix by characters."""
+    return mix_plan(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "source", "n_chars")
+
+
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source with a target: whether its copies stay within max_repeats, its documents, and the sum of all shares."""
+    report = p9_report(spark, sf)
+    total = report.agg(F.round(F.sum("actual_share"), 6).alias("all_shares"))
+    return report.crossJoin(F.broadcast(total)).select("source", (F.col("most_copies") <= F.col("repeats")).alias("within"), "docs", "all_shares")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return restored_texts(table(spark, sf, "documents"), "doc_id", "text").where("damaged").select("doc_id")
 
@@ -106,12 +118,21 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return restored_texts(table(spark, sf, "documents"), "doc_id", "text").where("damaged").select("doc_id", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_wrappers, p1_tags, p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_wrappers, p1_tags, p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p9_plan, p9_kept, p10_found, p10_restored)}
 
 _LATEST = "SELECT article_id, pagerank, pageviews, backlinks FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY embedding_timestamp DESC NULLS LAST, pagerank DESC NULLS LAST, pageviews DESC NULLS LAST, backlinks DESC NULLS LAST) AS i FROM articles WHERE article_id IS NOT NULL) WHERE i = 1"
 _POINTS = "CASE WHEN {s} IS NULL THEN 0 ELSE (m_{s} - (rank() OVER (PARTITION BY {s} IS NULL ORDER BY {s} DESC) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0) + 0.5) / m_{s} - 0.5 END"
 
 ORACLES = {
+    "p9_plan": """
+WITH d AS (SELECT source, count(*) AS docs, sum(n_chars) AS size FROM documents WHERE n_chars > 0 GROUP BY source),
+l AS (SELECT source, docs, CAST(size AS DOUBLE) AS size, target_share AS share, max_repeats AS repeats FROM d JOIN mix_targets USING (source) WHERE target_share > 0 AND max_repeats > 0),
+t AS (SELECT min(repeats * size * (SELECT sum(share) FROM l) / share) AS total FROM l),
+w AS (SELECT *, least(share / (SELECT sum(share) FROM l) * total, repeats * size) AS wanted FROM l, t),
+c AS (SELECT *, CAST(least(repeats, floor(wanted / size + 1e-12)) AS INTEGER) AS whole FROM w)
+SELECT source, docs, CAST(size AS BIGINT) AS size, whole, CAST(CASE WHEN whole < repeats THEN round(wanted - whole * size) ELSE 0 END AS BIGINT) AS rest FROM c""",
+    "p9_kept": """
+SELECT source, TRUE AS within, count(doc_id) AS docs, CAST(1 AS DOUBLE) AS all_shares FROM mix_targets LEFT JOIN (SELECT doc_id, source FROM documents WHERE length(text) > 0) USING (source) GROUP BY source""",
     "p1_tags": f"""
 SELECT tag, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(lower(text), '</?(?:{"|".join(sorted(TAGS, key=len, reverse=True))})(?:\\s[^<>]*|/)?\\s*/?>')) AS t FROM article)
@@ -131,4 +152,11 @@ WITH v AS (SELECT DISTINCT article_id AS id, CAST(vector AS DOUBLE[]) AS v FROM
   WHERE article_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v WHERE list_dot_product(v, v) > 0)
 SELECT a.id AS article_id_a, b.id AS article_id_b FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= 0.9 * a.n * b.n""",
+    "p7_nearest": """
+WITH v AS (SELECT DISTINCT article_id AS id, CAST(vector AS DOUBLE[]) AS v FROM vectors
+  WHERE article_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v WHERE list_dot_product(v, v) > 0),
+p AS (SELECT a.id AS article_id, b.id AS neighbour_id, list_dot_product(a.v, b.v) / a.n / b.n AS c FROM u a JOIN u b ON a.id <> b.id)
+SELECT article_id, neighbour_id, CAST(row_number() OVER (PARTITION BY article_id ORDER BY c DESC, neighbour_id) AS INTEGER) AS rank, round(c, 6) AS cosine FROM p
+QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY c DESC, neighbour_id) <= 10""",
 }
