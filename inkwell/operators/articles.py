@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.operators.skew import hot_keys, salted_join
 
 #: Shortest clean text that is an article, and characters of it that are stored.
 LEAST_CHARS, STORED_CHARS = 100, 20_000
@@ -87,13 +88,13 @@ def update_by_key(df: DataFrame, updates: DataFrame, key: str, columns: dict[str
     """Columns of the row of `updates` with the same key, on every row having that key.
 
     reset: rows without an update get the default given for the column, else they keep their value. updates has one row
-    a key; null keys match nothing. Columns that df lacks are added.
+    a key; null keys match nothing. Columns that df lacks are added. Rows of a hot or null key are spread over tasks.
     """
     for c, default in columns.items():
         if c not in df.columns:
             df = df.withColumn(c, F.lit(default).cast(dict(updates.dtypes)[c]))
     new = updates.select(F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in columns])
-    joined = df.join(new, df[key] == F.col("__key"), "left")
+    joined = salted_join(df.withColumn("__key", F.col(key)), new, ["__key"], hot_keys(df, [key]).withColumnRenamed(key, "__key"))
     for c, default in columns.items():
         other = F.lit(default) if reset else F.col(c)
         joined = joined.withColumn(c, F.coalesce(F.when(F.col("__hit"), F.col(f"__new_{c}")), other))

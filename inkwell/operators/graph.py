@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.functions.scoring import minmax100
+from inkwell.operators.skew import hot_keys, salted_join
 from inkwell.session import BROADCAST_ROWS, cut, drop_cut
 
 
@@ -14,11 +15,12 @@ def resolve_links(links: DataFrame, titles: DataFrame, order: str = "article_id"
     """Distinct (source_id, target_id) of links whose normalised target is a lookup_title.
 
     links: source_id, target (normalised). titles: lookup_title, article_id and the order in which the last row wins.
-    Targets are counted per title before the join by distinct (source, target), so a hot title costs its sources once.
+    Pairs are made distinct before the join, so a hot title costs its sources once, and these are spread over many tasks.
     """
     last = titles.where("lookup_title IS NOT NULL").groupBy("lookup_title").agg(F.max_by("article_id", order).alias("target_id"))
     pairs = links.select("source_id", F.col("target").alias("lookup_title")).distinct()
-    return pairs.join(last, "lookup_title").select("source_id", "target_id").distinct()
+    hot = hot_keys(links.select(F.col("target").alias("lookup_title")), ["lookup_title"])
+    return salted_join(pairs, last, ["lookup_title"], hot, "inner").select("source_id", "target_id").distinct()
 
 
 def raw_links(links: DataFrame, draft: bool = True) -> DataFrame:
@@ -35,9 +37,12 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def restrict(edges: DataFrame, vertices: DataFrame, key: str = "article_id") -> DataFrame:
-    """Edges with both ends among the vertices."""
+    """Edges with both ends among the vertices; the edges of a hot end are spread over many tasks."""
     ids = vertices.select(key).where(F.col(key).isNotNull()).distinct()
-    return edges.join(ids.withColumnRenamed(key, "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed(key, "target_id"), "target_id", "left_semi")
+    for end in ("source_id", "target_id"):
+        # ids are distinct, so an inner join keeps each edge once
+        edges = salted_join(edges, ids.withColumnRenamed(key, end), [end], hot_keys(edges, [end]), "inner").select(*edges.columns)
+    return edges
 
 
 def degrees(edges: DataFrame, end: str) -> DataFrame:
@@ -48,7 +53,7 @@ def degrees(edges: DataFrame, end: str) -> DataFrame:
 def weights(edges: DataFrame) -> DataFrame:
     """Edges with 1/outdegree of their source."""
     out = degrees(edges, "source_id")
-    return edges.join(out, "source_id").withColumn("weight", 1.0 / F.col("degree")).drop("degree")
+    return salted_join(edges, out, ["source_id"], hot_keys(edges, ["source_id"]), "inner").withColumn("weight", 1.0 / F.col("degree")).drop("degree")
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
@@ -56,15 +61,15 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source_id").alias("sources"), F.countDistinct("target_id").alias("targets")).withColumn("avg_out", F.round(F.try_divide(F.col("edges"), F.col("sources")), 6))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-6, every: int = 1) -> DataFrame:
     """article_id, rank (sums to 1) and pagerank (0 to 100).
 
     vertices: article_id. edges: distinct source_id, target_id; out-degrees count all of them, also those leaving the
     vertices, which carry no rank. Weighted edges are laid out by source once and stay so. Contributions are combined
-    by target before their shuffle, so a hot target costs one partial sum a task. Rank is written every `every` rounds,
-    which cuts the lineage; tolerance (summed change, None: all rounds) is looked at then. Empty vertices give none.
+    by target before their shuffle, so a hot target costs one partial sum a task. Each round is written, which cuts the
+    lineage, as its sum is needed besides; tolerance (summed change, None: all rounds) is looked at every `every` rounds.
+    Empty vertices give none.
     """
-
     ids = cut(vertices.where("article_id IS NOT NULL").select("article_id").distinct(), "vertices")
     n = ids.count()
     if not n:
@@ -74,18 +79,15 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, itera
     held = None
     for i in range(1, iterations + 1):
         flow = w.join(rank.withColumnRenamed("article_id", "source_id"), "source_id").groupBy(F.col("target_id").alias("article_id")).agg(F.sum(F.col("rank") * F.col("weight")).alias("flow"))
-        raw = ids.join(flow, "article_id", "left").select("article_id", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping) / n).alias("raw"))
+        raw = cut(ids.join(flow, "article_id", "left").select("article_id", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping) / n).alias("raw")), "rank")
         rank_next = raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("s")))).select("article_id", (F.col("raw") / F.col("s")).alias("rank"))
-        if i % every == 0 or i == iterations or tolerance is not None:
-            new = cut(rank_next, "rank")
-            if tolerance is not None:
-                change = new.join(rank.withColumnRenamed("rank", "old"), "article_id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            drop_cut(held)
-            held = rank = new
-            if tolerance is not None and change < tolerance:
-                break
-        else:
-            rank = rank_next
+        change = None
+        if tolerance is not None and (i % every == 0 or i == iterations):
+            change = rank_next.join(rank.withColumnRenamed("rank", "old"), "article_id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        drop_cut(held)
+        held, rank = raw, rank_next
+        if change is not None and change < tolerance:
+            break
 
     bounds = F.broadcast(rank.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")))
     return rank.crossJoin(bounds).select("article_id", "rank", minmax100(F.col("rank"), F.col("lo"), F.col("hi")).alias("pagerank"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
@@ -77,6 +78,19 @@ class Service:
         named = edges.join(names.select(F.col("article_id").alias("source"), F.col("title").alias("source_title")), "source").join(names.select(F.col("article_id").alias("target"), F.col("title").alias("target_title")), "target")
         return results, named.select(F.col("source_title").alias("source"), F.col("target_title").alias("target"), "score")
 
+    def search(self, text: str, encode: Callable[[Column], Column], k: int = 5) -> DataFrame:
+        """Q8, V2: rank, id, title, score of the k articles most similar to a text.
+
+        encode: what encodes the articles, too (hash_encoder() or a model). A blank text finds nothing.
+        """
+        spark = self.articles.sparkSession
+        vector = spark.createDataFrame([(text,)], "t string").select(encode(F.col("t")).alias("v")).first()["v"]
+        q = F.array(*[F.lit(float(x)) for x in vector])
+        alike = self.index.withColumn("score", dot(F.col("unit"), q)) if any(vector) else self.index.withColumn("score", F.lit(0.0)).limit(0)
+        named = alike.select("id", "score").join(self.articles.select(F.col("article_id").alias("id"), "title"), "id")
+        best = named.orderBy(F.desc("score"), "id").limit(k)
+        return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "id", "title", "score")
+
     def health(self) -> DataFrame:
         """Q6: totals and coverage of each signal, in one pass."""
         there = [s for s in SIGNALS if s in self.articles.columns]
