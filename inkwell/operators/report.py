@@ -45,12 +45,20 @@ def bars(title: str, df: DataFrame, name: str, share: str) -> str:
     return f"<h2>{html.escape(title)}</h2>" + _rows([name, "", share], rows)
 
 
-def html_report(path: str, title: str, sections: dict[str, DataFrame], extra: list[str] | None = None) -> None:
+def html_text(title: str, sections: dict[str, DataFrame], extra: list[str] | None = None) -> str:
     """Sections are aggregates: categories, benchmarks, clusters; extra: comparison() and bars() of this module."""
     body = "".join(_table(t, df) for t, df in sections.items()) + "".join(extra or [])
-    Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}", encoding="utf-8")
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}"
+
+
+def html_report(path: str, title: str, sections: dict[str, DataFrame], extra: list[str] | None = None) -> None:
+    Path(path).write_text(html_text(title, sections, extra), encoding="utf-8")
 
 
 def json_report(path: str, row: DataFrame) -> None:
     """A one-row aggregate as JSON."""
-    Path(path).write_text(json.dumps(row.first().asDict(recursive=True), indent=1, default=str), encoding="utf-8")
+    Path(path).write_text(json_text(row), encoding="utf-8")
+
+
+def json_text(row: DataFrame) -> str:
+    return json.dumps(row.first().asDict(recursive=True), indent=1, default=str)

@@ -35,6 +35,12 @@ def p2_inlinks(spark: SparkSession, sf: str) -> DataFrame:
     return _as_double(key_quantiles(links, "target_id", "seen", PERCENTS))
 
 
+def p2_refined(spark: SparkSession, sf: str) -> DataFrame:
+    """p2_inlinks with leaves of 50 rows, so that the values of many targets are refined digit by digit."""
+    links = table(spark, sf, "pagelinks").select("target_id", micros(F.col("seen_at")).alias("seen"))
+    return _as_double(key_quantiles(links, "target_id", "seen", PERCENTS, leaf_rows=50))
+
+
 def p2_title_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per title: flushes (a flush written twice counts once) and quantiles of their counts."""
     counts = table(spark, sf, "backlink_counts").distinct()
@@ -126,7 +132,7 @@ def _waiting(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, snapshots, none)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_inlinks, p2_title_counts, p2_title_totals, p4_found, p4_pagelinks, p4_snapshot, p4_reopened, p4_report, p4_waiting)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_inlinks, p2_refined, p2_title_counts, p2_title_totals, p4_found, p4_pagelinks, p4_snapshot, p4_reopened, p4_report, p4_waiting)}
 
 _QUANTILES = """
 WITH d AS ({rows}), r AS (
@@ -157,6 +163,7 @@ UNION ALL
 SELECT 'backlink_counts.lookup_title', lookup_title FROM backlink_counts WHERE lookup_title IS NOT NULL
 GROUP BY lookup_title HAVING count(*) * 50 >= (SELECT count(*) FROM backlink_counts)""",
     "p2_inlinks": _QUANTILES.format(rows="SELECT target_id AS k, epoch_us(seen_at) AS v FROM pagelinks WHERE target_id IS NOT NULL", key="target_id"),
+    "p2_refined": _QUANTILES.format(rows="SELECT target_id AS k, epoch_us(seen_at) AS v FROM pagelinks WHERE target_id IS NOT NULL", key="target_id"),
     "p2_title_counts": _QUANTILES.format(rows="SELECT lookup_title AS k, backlink_count AS v FROM (SELECT DISTINCT * FROM backlink_counts) WHERE lookup_title IS NOT NULL", key="lookup_title"),
     "p4_pagelinks": """
 WITH a AS (SELECT article_id, min(coalesce(embedding_timestamp, -1000000000000)) AS since FROM articles WHERE article_id IS NOT NULL GROUP BY article_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -15,7 +16,9 @@ from inkwell.operators import articles as A
 from inkwell.operators import graph as G
 from inkwell.operators import index as V
 from inkwell.operators import quality as Q
+from inkwell.operators.probe import measure
 from inkwell.operators.ranking import Service
+from inkwell.operators.report import bars, comparison, html_text, json_text
 from inkwell.plans.reference import _articles, _edges, _flat, _queries
 from inkwell.session import cut, scratch, table
 from inkwell.sources import wiki
@@ -306,12 +309,61 @@ def label_connectivity(spark: SparkSession, sf: str) -> Frame:
     return Q.connectivity(near, table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id")), "label")
 
 
+def first_rows(spark: SparkSession, sf: str) -> Frame:
+    """Insert-or-ignore over whole rows: of each article the earliest one, with its scores."""
+    columns = ["embedding_timestamp", "lookup_title", "pageviews", "backlinks", "pagerank", "char_count"]
+    rows = table(spark, sf, "articles").where("article_id IS NOT NULL").select("article_id", *columns)
+    return A.one_per_key(rows, ["article_id"], [F.asc_nulls_last(c) for c in columns])
+
+
+def replaced_rows(spark: SparkSession, sf: str) -> Frame:
+    """Insert-or-replace over whole rows: of each article the latest one, with its scores."""
+    columns = ["embedding_timestamp", "lookup_title", "pageviews", "backlinks", "pagerank", "char_count"]
+    rows = table(spark, sf, "articles").where("article_id IS NOT NULL").select("article_id", *columns)
+    return A.one_per_key(rows, ["article_id"], [F.desc_nulls_last(c) for c in columns])
+
+
+def changed_runs(spark: SparkSession, sf: str) -> Frame:
+    """Whether the result lists of runs agree: events by type, two runs made of even and odd ids, and one with itself."""
+    rows = table(spark, sf, "events").select((F.col("event_id") % 2).alias("run"), F.floor(F.col("event_id") / 2).alias("position"), "event_type")
+    few = rows.where("position < 10")
+    same = few.where("run = 0").unionByName(few.where("run = 0").withColumn("run", F.lit(1).cast("bigint")))
+    both = [Q.identical_runs(df, "run", "position", "event_type").withColumn("compared", F.lit(n)) for n, df in (("halves", few), ("itself", same))]
+    return both[0].unionByName(both[1])
+
+
+def list_counts(spark: SparkSession, sf: str) -> Frame:
+    """How many inverted lists an index of so many rows gets."""
+    return spark.createDataFrame([(n, V.cluster_count(n)) for n in (0, 1, 38, 39, 78, 1_521, 10_000, 10**6, 10**9)], "n bigint, lists bigint")
+
+
+def latency_probe(spark: SparkSession, sf: str) -> Frame:
+    """Twelve probes by three workers, of which every fourth fails: each has a latency, and its success is known."""
+
+    def call(i: int) -> None:
+        if i % 4 == 3:
+            raise ValueError(i)
+
+    return measure(spark, "probe", call, 12, 3).select("name", "i", "success", (F.col("latency_ms") >= 0).alias("timed"))
+
+
+def report_parts(spark: SparkSession, sf: str) -> Frame:
+    """The HTML report of a run: its rows, coloured changes and bars, and the totals of its JSON twin."""
+    events = table(spark, sf, "events").withColumn("passed", F.col("value") >= 20)
+    categories = Q.category_status(events, "event_type", "passed", "value")
+    halves = [events.where(c).groupBy("event_type").agg(F.avg("value").alias("latency")) for c in ("day(ts) > 15", "day(ts) <= 15")]
+    text = html_text("Run", {"Categories": categories}, [comparison("Changes", Q.compare_runs(*halves, "event_type", {"latency": True}), "event_type", ["latency"]), bars("Rates", categories.withColumn("rate", F.col("pass_rate") / 100), "event_type", "rate")])
+    totals = json.loads(json_text(Q.run_summary(events, "passed", "value")))
+    return spark.createDataFrame([(text.count("<tr>"), text.count("<span style=color:"), text.count("background:"), totals["total"], totals["passed"])], "rows int, changes int, bars int, total bigint, passed bigint")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         related, related_semantic, related_edges, article_details, context_ids, signals_there, title_scores, lookups, rank_merge, snapshots, replaced_table, stored_index, index_consistency,
         suite_recall, suite_report, suite_hits, analogies, search_path, explored, run_history, score_stats, cache_effect, validators, length_diagnosis, existing_sample, newest_rows,
-        benchmark_choice, verdicts, shown_numbers, json_sets, sparsity, label_connectivity,
+        benchmark_choice, verdicts, shown_numbers, json_sets, sparsity, label_connectivity, first_rows, replaced_rows, changed_runs, list_counts,
+        latency_probe, report_parts,
     )
 }
 
@@ -340,6 +392,7 @@ _PAGES = f"{_NEAR}, h AS (SELECT query, id, rank, lower(p_name) AS title FROM k
 _RECALL = f"{_PAGES}, y AS (SELECT query, round(avg(CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.query = x.query AND contains(h.title, x.wanted)) THEN 1.0 ELSE 0.0 END), 6) AS recall FROM x GROUP BY query)"
 _HOPS = """g AS (SELECT query AS s, id AS t FROM k WHERE rank <= 5), d1 AS (SELECT DISTINCT t FROM g WHERE s = 0), d2 AS (SELECT DISTINCT t FROM g WHERE s IN (SELECT t FROM d1)), d3 AS (SELECT DISTINCT t FROM g WHERE s IN (SELECT t FROM d2)),
 w AS (SELECT unnest([0, 11, 50, 123, 499, 1000000000]) AS target), z AS (SELECT target, CASE WHEN target = 0 THEN 0 WHEN target IN (SELECT t FROM d1) THEN 1 WHEN target IN (SELECT t FROM d2) THEN 2 WHEN target IN (SELECT t FROM d3) THEN 3 END AS hops FROM w)"""
+_WHOLE = "embedding_timestamp, lookup_title, pageviews, backlinks, pagerank, char_count"
 _SIZES = ["B", "KB", "MB", "GB", "TB"]
 
 ORACLES = {
@@ -394,6 +447,14 @@ SELECT c_custkey, CASE {" ".join(f"WHEN n < {1024 ** (i + 1)} THEN printf('%.2f
 round(CASE WHEN c_custkey % 3 > 0 THEN c_acctbal / (c_custkey % 3) ELSE 0 END, 6) AS ratio, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS parsed,
 '["aB_' || c_mktsegment || ' c","' || lower('aB_' || c_mktsegment || ' c') || '","' || upper('aB_' || c_mktsegment || ' c') || '","aB ' || c_mktsegment || ' c","aB_' || c_mktsegment || '_c"]' AS variations, '["a b","' || c_mktsegment || '"]' AS context, 'A b. ' || c_name AS model_input FROM x""",
     "json_sets": "SELECT user_id, '[\"' || array_to_string(list_sort(list_distinct(list(event_type))), '\",\"') || '\"]' AS types FROM events GROUP BY 1",
+    "first_rows": f"SELECT article_id, {_WHOLE} FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY {', '.join(f'{c} NULLS LAST' for c in _WHOLE.split(', '))}) AS i FROM articles WHERE article_id IS NOT NULL) WHERE i = 1",
+    "replaced_rows": f"SELECT article_id, {_WHOLE} FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _WHOLE.split(', '))}) AS i FROM articles WHERE article_id IS NOT NULL) WHERE i = 1",
+    "changed_runs": """WITH l AS (SELECT event_id % 2 AS run, list(event_type ORDER BY event_id) AS l FROM events WHERE event_id < 20 GROUP BY 1)
+SELECT 'halves' AS compared, count(*) AS runs, count(DISTINCT l) <= 1 AS same FROM l UNION ALL SELECT 'itself', 2, TRUE""",
+    "list_counts": "SELECT n, CAST(greatest(1, least(floor(sqrt(n)), n // 39)) AS BIGINT) AS lists FROM (SELECT unnest([0, 1, 38, 39, 78, 1521, 10000, 1000000, 1000000000]) AS n)",
+    "latency_probe": "SELECT 'probe' AS name, CAST(i AS INTEGER) AS i, i % 4 <> 3 AS success, TRUE AS timed FROM range(12) AS t(i)",
+    "report_parts": """WITH c AS (SELECT count(DISTINCT event_type) AS n, count(DISTINCT event_type) FILTER (day(ts) > 15) AS late FROM events), b AS (SELECT count(*) AS n_both FROM (SELECT event_type FROM events WHERE day(ts) > 15 INTERSECT SELECT event_type FROM events WHERE day(ts) <= 15))
+SELECT CAST(2 * n + late + 3 AS INTEGER) AS rows, CAST(n_both AS INTEGER) AS changes, CAST(n AS INTEGER) AS bars, (SELECT count(*) FROM events) AS total, (SELECT count(*) FROM events WHERE value >= 20) AS passed FROM c, b""",
     "sparsity": "SELECT round(100.0 * (1 - (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM pagelinks WHERE source_id IS NOT NULL AND target_id IS NOT NULL)) / pow((SELECT count(DISTINCT article_id) FROM articles), 2)), 9) AS sparsity",
     "label_connectivity": f"""{_NEAR}, f AS (SELECT a.label, count(*) AS found FROM k JOIN embeddings a ON k.query = a.vec_id JOIN embeddings b ON k.id = b.vec_id AND a.label = b.label WHERE rank <= 10 GROUP BY 1), m AS (SELECT label, count(DISTINCT vec_id) AS n FROM embeddings GROUP BY 1)
 SELECT m.label, n, coalesce(found, 0) AS found, round(CASE WHEN n > 1 THEN coalesce(found, 0) / (n * (n - 1)) ELSE 0 END, 6) AS connectivity FROM m LEFT JOIN f ON m.label = f.label""",
