@@ -63,6 +63,16 @@ def p5_top(spark: SparkSession, sf: str) -> DataFrame:
     return found.orderBy(F.desc("high"), "item").limit(100).select(F.col("item").alias("title"), F.col("low").alias("views_low"), F.col("high").alias("views_high"))
 
 
+def p5_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 titles with the largest sums among the candidates of the summaries, summed exactly, and whether each sum
+    keeps to its bounds."""
+    views = table(spark, sf, "pageviews")
+    found = misra_gries(views, "title", "view_count", 5_000)
+    # at most 5,000 rows
+    exact = views.join(F.broadcast(found.withColumnRenamed("item", "title")), "title").groupBy("title", "low", "high").agg(F.sum(F.greatest(F.coalesce("view_count", F.lit(0)), F.lit(0))).alias("views"))
+    return exact.select("title", "views", F.col("views").between(F.col("low"), F.col("high")).alias("bounded")).orderBy(F.desc("views"), "title").limit(20)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut(latest_rows(table(spark, sf, "articles"), "article_id", "embedding_timestamp", SCORES), "latest")
     ranks = score_ranks(rows.fillna(0, SCORES), "article_id", SCORES)
@@ -129,7 +139,7 @@ def p10_planted(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("pair").agg(F.count(F.lit(1)).alias("planted"), F.count_if("damaged").alias("found"), F.count_if(F.col("restored") == F.col("original")).alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_wrappers, p1_tags, p3_found, p5_found, p5_top, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p9_plan, p9_kept, p10_found, p10_restored, p10_planted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_wrappers, p1_tags, p3_found, p5_found, p5_top, p5_checked, p6_found, p6_ranking, p7_found, p7_nearest, p8_ids, p9_mix, p9_report, p9_plan, p9_kept, p10_found, p10_restored, p10_planted)}
 
 _LATEST = "SELECT article_id, pagerank, pageviews, backlinks FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY embedding_timestamp DESC NULLS LAST, pagerank DESC NULLS LAST, pageviews DESC NULLS LAST, backlinks DESC NULLS LAST) AS i FROM articles WHERE article_id IS NOT NULL) WHERE i = 1"
 _POINTS = "CASE WHEN {s} IS NULL THEN 0 ELSE (m_{s} - (rank() OVER (PARTITION BY {s} IS NULL ORDER BY {s} DESC) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0) + 0.5) / m_{s} - 0.5 END"
@@ -149,6 +159,7 @@ SELECT tag, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(lower(text), '</?(?:{"|".join(sorted(TAGS, key=len, reverse=True))})(?:\\s[^<>]*|/)?\\s*/?>')) AS t FROM article)
 CROSS JOIN LATERAL (SELECT regexp_extract(t, '^</?[a-z0-9]+') AS tag) GROUP BY tag""",
     "p5_found": "SELECT title FROM pageviews WHERE title IS NOT NULL GROUP BY title HAVING sum(coalesce(view_count, 0)) * 100 >= (SELECT sum(coalesce(view_count, 0)) FROM pageviews)",
+    "p5_checked": "SELECT title, CAST(sum(coalesce(view_count, 0)) AS BIGINT) AS views, TRUE AS bounded FROM pageviews WHERE title IS NOT NULL GROUP BY title ORDER BY views DESC, title LIMIT 20",
     "p6_found": f"""
 WITH l AS ({_LATEST}),
 r AS (SELECT article_id, count(*) OVER () AS n, {", ".join(f"rank() OVER (ORDER BY coalesce({s}, 0) DESC) - 1 AS g_{s}" for s in SCORES)} FROM l)
