@@ -11,7 +11,7 @@ from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.heavy_hitters import frequent_items, misra_gries
 from inkwell.llm.markup import TAGS
 from inkwell.llm.mixing import mix_documents, mix_plan
-from inkwell.llm.mojibake import planted_damage, restored_texts
+from inkwell.llm.mojibake import learn_plausibility, planted_damage, restored_texts
 from inkwell.llm.title_forms import article_index, disguised_titles
 from inkwell.llm.wrappers import learn_wrappers, tag_counts, wrapped_texts
 from inkwell.session import cut, table
@@ -130,12 +130,12 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_planted(spark: SparkSession, sf: str) -> DataFrame:
     """By pair of codecs: sentences damaged on purpose in undamaged documents, and how many were found and came back."""
-    rows = cut(restored_texts(table(spark, sf, "documents"), "doc_id", "text"), "whole").where("NOT damaged").select("doc_id", F.col("restored").alias("text"))
+    docs = table(spark, sf, "documents")
+    model = learn_plausibility(docs, "text")
+    rows = restored_texts(docs, "doc_id", "text", model=model).where("NOT damaged").select("doc_id", F.col("restored").alias("text"))
     planted = cut(planted_damage(rows, "doc_id", "text"), "planted")
-    # the undamaged rows stand beside the damaged ones, as what is plausible is learned from them
-    both = planted.select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(rows.select(F.concat(F.lit("-"), "doc_id").alias("doc_id"), "text"))
-    back = restored_texts(both, "doc_id", "text").withColumnsRenamed({"doc_id": "id"})
-    joined = planted.join(back, F.col("doc_id").cast("string") == F.col("id"))
+    back = restored_texts(planted, "doc_id", "text", model=model).withColumnRenamed("doc_id", "id")
+    joined = planted.join(back, F.col("doc_id") == F.col("id"))
     return joined.groupBy("pair").agg(F.count(F.lit(1)).alias("planted"), F.count_if("damaged").alias("found"), F.count_if(F.col("restored") == F.col("original")).alias("restored"))
 
 
