@@ -7,12 +7,13 @@ chosen when the index is built, by the recall of a sample of its own rows agains
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ from inkwell.session import cut, drop_cut
 
 #: Most rows that the quantisers are fitted on.
 TRAIN_ROWS = 100_000
-#: Queries that one pass over the index answers: what the driver holds and sends to the tasks at once.
-QUERY_BLOCK = 5_000
+#: Queries, and bytes of what they send along, that one pass over the index answers at most: what the driver holds and
+#: sends to the tasks at once.
+QUERY_BLOCK, QUERY_BYTES = 50_000, 2**25
 #: Queries that a batch of the index is multiplied with at once.
 QUERY_STRIP = 512
 #: Mean recall that a built index must reach on its sample: 0.9, and 0.02 for the error of the sample.
@@ -37,15 +39,25 @@ KMEANS_STRIP = 4_096
 HELD = 2_000_000
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries, in blocks of about QUERY_BLOCK by a hash of the id, however many there are."""
+def _by_blocks(queries: DataFrame, numbers: int, search: Callable[[np.ndarray, np.ndarray], tuple[DataFrame, Broadcast]]) -> list[DataFrame]:
+    """What `search` finds for the ids and vectors of the queries, in blocks by a hash of the id, however many there are.
+
+    A block has at most QUERY_BLOCK queries and QUERY_BYTES of the `numbers` that each query sends along. Where there are several, the hits of each are
+    written before the next block is read, so the driver and the tasks hold one at a time.
+    """
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    blocks = max(1, -(-n // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, numbers))))))
+    parts = []
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
         rows = part.select("query", "unit").orderBy("query").collect()
         if rows:
-            yield np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+            hits, shared = search(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64))
+            if blocks > 1:
+                hits = cut(hits, "hits")
+                shared.unpersist()
+            parts.append(hits)
+    return parts
 
 
 def flat_index(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -61,13 +73,14 @@ def search_exact(index: DataFrame, queries: DataFrame, k: int, exclude_self: boo
     The queries are multiplied with the index block by block: a block of QUERY_BLOCK queries goes to every task, each
     keeps its k best a query, and these are merged. No queries, or an empty index, give no rows.
     """
-    parts = [_search_block(index, names, matrix, k, exclude_self) for names, matrix in _query_blocks(queries)]
+    first = queries.select("unit").first()
+    parts = _by_blocks(queries, len(first["unit"]) if first else 1, lambda names, matrix: _search_block(index, names, matrix, k, exclude_self))
     near = reduce(DataFrame.unionByName, parts) if parts else index.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score")).limit(0)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "rank", "score")
 
 
-def _search_block(index: DataFrame, names: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
+def _search_block(index: DataFrame, names: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
     shared = index.sparkSession.sparkContext.broadcast((names, matrix))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +107,7 @@ def _search_block(index: DataFrame, names: np.ndarray, matrix: np.ndarray, k: in
         if held is not None:
             yield held
 
-    return index.select("id", "unit").mapInPandas(best, "query bigint, id bigint, score double")
+    return index.select("id", "unit").mapInPandas(best, "query bigint, id bigint, score double"), shared
 
 
 def cluster_count(n: int) -> int:
@@ -210,13 +223,15 @@ class IvfPq:
         Queries (query, unit) are taken in blocks of QUERY_BLOCK.
         """
         probes, pool = probes or self.probes, pool or self.pool
-        parts = [self._search_block(names, m, probes, pool, exclude_self) for names, m in _query_blocks(queries)]
+        # its vector, its product with each centre, and that of each part with each code
+        numbers = self.centres.shape[1] + len(self.centres) + sum(map(len, self.codebooks))
+        parts = _by_blocks(queries, numbers, lambda names, m: self._search_block(names, m, probes, pool, exclude_self))
         hits = reduce(DataFrame.unionByName, parts) if parts else self.rows.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("guess"), F.lit(0.0).alias("score")).limit(0)
         pooled = hits.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("guess"), "id"))).where(F.col("n") <= pool)
         w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
         return pooled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "rank", "score")
 
-    def _search_block(self, names: np.ndarray, m: np.ndarray, probes: int, pool: int, exclude_self: bool) -> DataFrame:
+    def _search_block(self, names: np.ndarray, m: np.ndarray, probes: int, pool: int, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
         near = m @ self.centres.T - (self.centres**2).sum(1) / 2
         probed = np.argsort(-near, axis=1)[:, : min(probes, len(self.centres))]
         by_list: dict[int, list[int]] = {}
@@ -269,7 +284,7 @@ class IvfPq:
             for q, i, g, s in best():
                 yield pd.DataFrame({"query": ids[q], "id": i, "guess": g, "score": s})
 
-        return self.rows.where(F.col("list").isin(sorted(by_list))).mapInPandas(look, "query bigint, id bigint, guess double, score double")
+        return self.rows.where(F.col("list").isin(sorted(by_list))).mapInPandas(look, "query bigint, id bigint, guess double, score double"), shared
 
 
 #: Rows under which an index stays flat.
