@@ -36,12 +36,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     return raw_links(rows.select(F.col("id").alias("source_id"), F.explode(T.wikilinks(raw)).alias("target_title")))
 
 
-def restrict(edges: DataFrame, vertices: DataFrame, key: str = "article_id") -> DataFrame:
-    """Edges with both ends among the vertices; the edges of a hot end are spread over many tasks."""
+def restrict(edges: DataFrame, vertices: DataFrame, key: str = "article_id", counted: DataFrame | None = None) -> DataFrame:
+    """Edges with both ends among the vertices; the edges of a hot end are spread over many tasks.
+
+    counted: what hot ends are counted in, if the edges themselves are dear to compute twice.
+    """
+    counted = edges if counted is None else counted
     ids = vertices.select(key).where(F.col(key).isNotNull()).distinct()
     for end in ("source_id", "target_id"):
         # ids are distinct, so an inner join keeps each edge once
-        edges = salted_join(edges, ids.withColumnRenamed(key, end), [end], hot_keys(edges, [end]), "inner").select(*edges.columns)
+        edges = salted_join(edges, ids.withColumnRenamed(key, end), [end], hot_keys(counted, [end]), "inner").select(*edges.columns)
     return edges
 
 
@@ -74,7 +78,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, itera
     n = ids.count()
     if not n:
         return ids.select("article_id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("pagerank"))
-    w = cut(restrict(weights(edges.where("source_id IS NOT NULL")), ids).repartition("source_id"), "weights")
+    edges = cut(edges.where("source_id IS NOT NULL").select("source_id", "target_id"), "edges")
+    w = cut(restrict(weights(edges), ids, counted=edges).repartition("source_id"), "weights")
+    drop_cut(edges)
     rank = ids.withColumn("rank", F.lit(1.0 / n))
     held = None
     for i in range(1, iterations + 1):

@@ -22,10 +22,12 @@ DIGIT = 12
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.005) -> DataFrame:
     """Key values with more than `share` of df's rows, at most 1/share of them; null keys are left out.
 
-    Counts are combined before the shuffle, so the hottest key costs one partial count a task.
+    Counts are combined before the shuffle, so the hottest key costs one partial count a task. Nothing runs before the
+    result is used.
     """
-    total = df.count()
-    return df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share * total).select(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    return counts.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).where(F.col("__n") > share * total).select(*keys)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "left", salts: int = 32, spread: Column | None = None) -> DataFrame:
