@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.markup import CATEGORIES, MEDIA, OPTIONS, SIGNS, TAGS, clean
+from inkwell.operators.order import cumulated
+from inkwell.session import cut, drop_cut
 
 _NAMES = "|".join(sorted(TAGS, key=len, reverse=True))
 _PREFIXES = "|".join([*MEDIA, *CATEGORIES])
@@ -62,9 +64,9 @@ _SPANNING = (
 _SPANS = re.compile(r"[^{}|\[\]`~<\-$\\]++|" + "|".join(f"({p})" for _, _, p in _SPANNING), re.I)
 _OPENS = re.compile(r"\{[{|]|\[\[|```|~~~|<(?:!--|[pscmrgnh])|\$\$|\\(?:begin|\[)", re.I)
 
-#: Texts that wrappers are inferred from, those of the smallest hash classes; streams of a host that are aligned, the most
-#: frequent ones; tokens of the longest stream that is; and wrappers kept, those of most streams. Rows beyond are parsed.
-FIT_ROWS, HOST_STREAMS, STREAM_TOKENS, MOST_WRAPPERS = 20_000, 300, 512, 20_000
+#: Streams of a host that one task aligns with each other, as that is quadratic; and tokens of the longest stream that is
+#: aligned, longer ones are parsed.
+HOST_STREAMS, STREAM_TOKENS = 300, 512
 
 Stream = tuple[str, ...]
 #: How alike two streams must be to share a wrapper, and the longest run of tokens that is looked for as a repeat.
@@ -483,34 +485,80 @@ class Wrapped:
         return re.sub(r"\n{3,}", "\n\n", joined).strip("\n"), marked, parsed
 
 
-def learn_wrappers(df: DataFrame, text: str, fit_rows: int = FIT_ROWS) -> list[tuple[str, Wrapper]]:
-    """(host, wrapper) of a table's texts, inferred from at most about fit_rows of them, chosen by a hash of the text.
+def merged(wrappers: Iterable[Wrapper]) -> list[Wrapper]:
+    """Wrappers of one host with equal ones as one, unless what they know contradicts each other."""
+    out: dict[tuple, list[Wrapper]] = {}
+    for w in wrappers:
+        same = out.setdefault((repr(w.elements), w.marked), [])
+        for v in same:
+            if all(v.kept.get(k, x) == x for k, x in w.kept.items()) and all(v.between.get(k, x) == x for k, x in w.between.items()):
+                v.kept, v.between, v.streams = v.kept | w.kept, v.between | w.between, v.streams + w.streams
+                break
+        else:
+            same.append(w)
+    return [w for same in out.values() for w in same]
+
+
+def learn_wrappers(df: DataFrame, text: str, fit_rows: int | None = None) -> list[tuple[str, Wrapper]]:
+    """(host, wrapper) of all of a table's texts; fit_rows: only of about so many, chosen by a hash of the text.
 
-    Streams are counted before they are brought together by host, so what a third of all texts share is one stream.
+    Streams are counted before they are brought together by host, so what a third of all texts share is one stream. The
+    HOST_STREAMS most frequent ones of a host are aligned first. All others are matched with what came of them; those that
+    no wrapper renders as the parser does are aligned in blocks of as many, so that every stream has its part.
     """
-    sample = max(1, -(-df.count() // fit_rows))
-    rows = df.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(SIGNS) & (F.pmod(F.xxhash64("text"), F.lit(sample)) == 0))
+    rows = df.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(SIGNS))
+    if fit_rows:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-df.count() // fit_rows)))) == 0)
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter[Stream] = Counter()
             for t in b.column("text").to_pylist():
-                seen.update(s for _, u in units(t.replace("\r\n", "\n")) if _SIGNS.search(u) and not PRIVATE.search(u) and len(s := tokens(u)[0]) <= STREAM_TOKENS)
+                seen.update(s for _, u in units(t.replace("\r\n", "\n")) if _SIGNS.search(u) and (u.isascii() or not PRIVATE.search(u)) and len(s := tokens(u)[0]) <= STREAM_TOKENS)
             yield pa.RecordBatch.from_arrays([pa.array([host(s) for s in seen], pa.string()), pa.array([list(s) for s in seen], pa.list_(pa.string())), pa.array(seen.values(), pa.int64())], ["host", "stream", "n"])
 
     def aligned_streams(pdf: pd.DataFrame) -> pd.DataFrame:
         found = infer(tuple(s) for s in pdf.sort_values("at")["stream"])
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "streams": [w.streams for w in found], "wrapper": [pickle.dumps(w) for w in found]})
-
-    counted = rows.mapInArrow(streams, "host string, stream array<string>, n bigint").groupBy("host", "stream").agg(F.sum("n").alias("n"))
-    most = counted.withColumn("at", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "stream"))).where(F.col("at") <= HOST_STREAMS)
-    found = most.groupBy("host").applyInPandas(aligned_streams, "host string, streams int, wrapper binary")
-    # a wrapper is a few hundred bytes, so the driver sees some MB at most
-    return [(r["host"], pickle.loads(r["wrapper"])) for r in found.orderBy(F.desc("streams"), "host", "wrapper").limit(MOST_WRAPPERS).collect()]
+        return pd.DataFrame({"host": pdf["host"].iloc[0], "wrapper": [pickle.dumps(w) for w in found]})
 
+    def inferred(groups: DataFrame, *by: str) -> dict[str, list[Wrapper]]:
+        out: dict[str, list[Wrapper]] = {}
+        # a wrapper is some kilobytes, so what the driver sees grows with the kinds of markup, not with the rows
+        for r in groups.groupBy(*by).applyInPandas(aligned_streams, "host string, wrapper binary").orderBy("host", "wrapper").collect():
+            out.setdefault(r["host"], []).append(pickle.loads(r["wrapper"]))
+        return out
 
-def wrapped_texts(df: DataFrame, key: str, text: str, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """key, clean, marks, parsed of every row: texts made clean by the wrappers inferred from them.
+    counted = cut(rows.mapInArrow(streams, "host string, stream array<string>, n bigint").groupBy("host", "stream").agg(F.sum("n").alias("n")), "streams")
+    most = counted.withColumn("at", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "stream"))).where(F.col("at") <= HOST_STREAMS)
+    found = inferred(most, "host")
+    if (counted.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > HOST_STREAMS:
+        shared = df.sparkSession.sparkContext.broadcast(found)
+
+        def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fits: list[int | None] = []
+                whole: list[bool] = []
+                for h, s in zip(b.column("host").to_pylist(), map(tuple, b.column("stream").to_pylist()), strict=True):
+                    parsed, marks = parse_stream(s)
+                    whole.append(parsed is not None)
+                    fits.append(next((i for i, w in enumerate(shared.value.get(h, ())) if w.marked == (marks > 0) and w.render(s) == parsed), None) if whole[-1] else None)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fits, pa.int32())], [*b.schema.names, "fits"]).filter(pa.array(whole, pa.bool_()))
+
+        others = counted.join(most.select("host", "stream"), ["host", "stream"], "left_anti").select("host", "stream", "n")
+        tried = cut(others.mapInArrow(fitting, "host string, stream array<string>, n bigint, fits int"), "fitting")
+        for r in tried.where("fits IS NOT NULL").groupBy("host", "fits").count().collect():
+            found[r["host"]][r["fits"]].streams += r["count"]
+        placed = cumulated(tried.where("fits IS NULL").drop("fits"), ["host"], [F.desc("n"), F.col("stream")]).withColumnRenamed("upto", "at")
+        for h, ws in inferred(placed.withColumn("block", F.floor((F.col("at") - 1) / HOST_STREAMS)), "host", "block").items():
+            found[h] = merged([*found.get(h, ()), *ws])
+        drop_cut(tried)
+    drop_cut(counted)
+    return sorted(((h, w) for h, ws in found.items() for w in ws), key=lambda x: (-x[1].streams, x[0], pickle.dumps(x[1])))
+
+
+def wrapped_texts(df: DataFrame, key: str, text: str, fit_rows: int | None = None) -> DataFrame:
+    """key, clean, marks, parsed of every row: texts made clean by the wrappers inferred from them, all unless fit_rows says
+    otherwise.
 
     marks: units of the text that hold markup; parsed: units that no wrapper fits, which the markup parser reads. Null
     and empty texts, and those without markup, stay as they are with 0 marks; repeated rows stay; other columns don't

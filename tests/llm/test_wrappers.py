@@ -3,7 +3,7 @@
 import pytest
 
 from inkwell.llm.markup import clean
-from inkwell.llm.wrappers import PRIVATE, Wrapped, host, infer, learn_wrappers, tag_counts, tokens, units, wrapped_texts
+from inkwell.llm.wrappers import PRIVATE, Wrapped, host, infer, learn_wrappers, merged, tag_counts, tokens, units, wrapped_texts
 
 LIST = "<ul>{}</ul>"
 
@@ -83,3 +83,31 @@ def test_a_hot_text_is_one_stream(spark):
     found = {w.pattern(): w for _, w in learn_wrappers(df, "text")}
     assert "== # · == ¶ #" in found and sum(w.streams for w in found.values()) <= 6
     assert wrapped_texts(df, "page_id", "text", fit_rows=10).where("marks > 0").count() == 300
+
+
+TAGGED = [f"''Aaa bbb'' and <{t}>ccc ddd</{t}> eee" for t in ("b", "i", "u", "s", "sub", "sup", "small", "big", "strong", "em", "code", "span")]
+
+
+def _parsed(df, **options):
+    return {(r["page_id"], r["clean"], r["marks"]) for r in wrapped_texts(df, "page_id", "text", **options).where("marks > 0").collect()}, wrapped_texts(df, "page_id", "text", **options).agg({"parsed": "sum"}).first()[0]
+
+
+def test_wrappers_come_from_all_rows(spark):
+    marked = spark.createDataFrame(list(enumerate(TAGGED)), "page_id bigint, text string")
+    df = marked.unionByName(spark.range(100, 40_100).selectExpr("id AS page_id", "concat('plain words ', id) AS text"))
+    assert sum(w.streams for _, w in learn_wrappers(df, "text")) == len(TAGGED)
+    assert _parsed(df) == ({(i, clean(t)[0], 1) for i, t in enumerate(TAGGED)}, 0)
+
+
+def test_every_stream_of_a_host_has_its_part(spark, monkeypatch):
+    monkeypatch.setattr("inkwell.llm.wrappers.HOST_STREAMS", 5)
+    df = spark.createDataFrame([(100 * i + j, t) for i, t in enumerate(TAGGED) for j in range(1 + i % 3)], "page_id bigint, text string")
+    assert {host(tokens(t)[0]) for t in TAGGED} == {"''"}
+    assert sum(w.streams for _, w in learn_wrappers(df, "text")) == len(TAGGED)
+    got, parsed = _parsed(df)
+    assert parsed == 0 and got == {(100 * i + j, clean(t)[0], 1) for i, t in enumerate(TAGGED) for j in range(1 + i % 3)}
+
+
+def test_equal_wrappers_are_one():
+    (a,), (b,) = infer(_streams("[[Aaa bbb]] ccc")), infer(_streams("[[Ddd eee]] fff"))
+    assert [w.streams for w in merged([a, b])] == [2]
