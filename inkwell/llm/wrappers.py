@@ -521,17 +521,21 @@ def learn_wrappers(df: DataFrame, text: str, fit_rows: int | None = None) -> lis
         found = infer(tuple(s) for s in pdf.sort_values("at")["stream"])
         return pd.DataFrame({"host": pdf["host"].iloc[0], "wrapper": [pickle.dumps(w) for w in found]})
 
-    def inferred(groups: DataFrame, *by: str) -> dict[str, list[Wrapper]]:
+    def inferred(groups: DataFrame, blocks: int, *by: str) -> dict[str, list[Wrapper]]:
         out: dict[str, list[Wrapper]] = {}
+        # few bytes but much work: with a number of partitions of its own, blocks aren't put together into one task;
         # a wrapper is some kilobytes, so what the driver sees grows with the kinds of markup, not with the rows
-        for r in groups.groupBy(*by).applyInPandas(aligned_streams, "host string, wrapper binary").orderBy("host", "wrapper").collect():
-            out.setdefault(r["host"], []).append(pickle.loads(r["wrapper"]))
+        rows = groups.repartition(2 * max(blocks, 1), *by).groupBy(*by).applyInPandas(aligned_streams, "host string, wrapper binary").collect()
+        for h, w in sorted((r["host"], bytes(r["wrapper"])) for r in rows):
+            out.setdefault(h, []).append(pickle.loads(w))
         return out
 
     counted = cut(rows.mapInArrow(streams, "host string, stream array<string>, n bigint").groupBy("host", "stream").agg(F.sum("n").alias("n")), "streams")
     most = counted.withColumn("at", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "stream"))).where(F.col("at") <= HOST_STREAMS)
-    found = inferred(most, "host")
-    if (counted.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > HOST_STREAMS:
+    aligned_first = F.sum(F.least("count", F.lit(HOST_STREAMS)))
+    largest, first = counted.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(aligned_first, F.lit(0))).first()
+    found = inferred(most, -(-first // HOST_STREAMS), "host")
+    if largest > HOST_STREAMS:
         shared = df.sparkSession.sparkContext.broadcast(found)
 
         def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,8 +552,10 @@ def learn_wrappers(df: DataFrame, text: str, fit_rows: int | None = None) -> lis
         tried = cut(others.mapInArrow(fitting, "host string, stream array<string>, n bigint, fits int"), "fitting")
         for r in tried.where("fits IS NOT NULL").groupBy("host", "fits").count().collect():
             found[r["host"]][r["fits"]].streams += r["count"]
-        placed = cumulated(tried.where("fits IS NULL").drop("fits"), ["host"], [F.desc("n"), F.col("stream")]).withColumnRenamed("upto", "at")
-        for h, ws in inferred(placed.withColumn("block", F.floor((F.col("at") - 1) / HOST_STREAMS)), "host", "block").items():
+        left = tried.where("fits IS NULL").drop("fits")
+        blocks = left.groupBy("host").count().agg(F.coalesce(F.sum(F.ceil(F.col("count") / HOST_STREAMS)), F.lit(0))).first()[0]
+        placed = cumulated(left, ["host"], [F.desc("n"), F.col("stream")]).withColumnRenamed("upto", "at")
+        for h, ws in inferred(placed.withColumn("block", F.floor((F.col("at") - 1) / HOST_STREAMS)), blocks, "host", "block").items():
             found[h] = merged([*found.get(h, ()), *ws])
         drop_cut(tried)
     drop_cut(counted)
